@@ -1,0 +1,4 @@
+"""Queries over the given tables and their SQL twins."""
+
+from . import transforms  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
