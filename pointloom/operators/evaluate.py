@@ -336,3 +336,19 @@ def calibration_report(a: DataFrame, b: DataFrame, voxel: float = 0.019) -> Data
         gap("rough_cargo").alias("cargo_gap_mm"), status(gap("rough_cargo")).alias("cargo_status"),
         (F.col("b_mean_points") / F.col("a_mean_points")).alias("count_ratio"),
     )
+
+
+def dataset_stats(df: DataFrame, n: int = 5000, uniform=None, floor_cell: float = 0.05, min_cell: int = 8) -> DataFrame:
+    """One row per data set (points with ``height``): pooled medians and points per scene."""
+    from .grids import roughness, scene_count_stats
+
+    near = knn(sample_n(df, n, uniform), 1, include_self=False).withColumn("d", F.sqrt("d2"))
+    parts = [exact_percentiles(near, [], "d", {"median_nn": 0.5})]
+    for name, kw in (("rough_floor", {}), ("rough_cargo", {"lo": 0.20, "hi": 1.60})):
+        cells = roughness(df, cell_size=floor_cell, min_cell=min_cell, **kw)
+        parts.append(exact_percentiles(cells, [], "sigma", {name: 0.5}))
+    parts.append(scene_count_stats(df).select("mean_points"))
+    out = parts[0].withColumn("_k", F.lit(0))
+    for p in parts[1:]:
+        out = out.join(p.withColumn("_k", F.lit(0)), "_k", "left")
+    return out.drop("_k")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cell, squared_distance
 from ..functions.groups import attach
+from ..functions.lineage import cut
 
 XYZ = ("x", "y", "z")
 
@@ -104,7 +105,8 @@ def knn(
     ever be neighbours are searched once and the result is shared.
     """
     want = k if include_self else k + 1
-    pts = df.select(scene, key, *XYZ)
+    # The points feed many branches of the plan, so they are computed once.
+    pts = cut(df.select(scene, key, *XYZ))
     crowded = (
         pts.groupBy(scene, *XYZ).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
         .where(F.col("_n") > want)
@@ -196,7 +198,7 @@ def radius_count(
     points sharing a cell are counted without pairing them.
     """
     dims = list(dims)
-    places = df.groupBy(scene, *dims).agg(F.count(F.lit(1)).alias("_w"))
+    places = cut(df.groupBy(scene, *dims).agg(F.count(F.lit(1)).alias("_w")))
     counts = _weighted_counts(places, places, r, dims, scene)
     return df.select(scene, key, *dims).join(counts, [scene, *dims]).select(
         scene, key, (F.col("_found") - 1).alias("n")
@@ -292,6 +294,7 @@ def nearest_transfer(
     occur only on the left stay without a match (NULL columns).
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
+    left, right = cut(left), cut(right.select(scene, key, *XYZ, *columns))
     both = left.select(scene, *XYZ).unionByName(right.select(scene, *XYZ))
     grid = _scene_grid(both, base_cell, scene).join(right.select(scene).distinct(), scene, "left_semi")
 
