@@ -57,7 +57,8 @@ def exact_percentiles(
     if not keys:
         keys = ["_all"]
         data = data.withColumn("_all", F.lit(0))
-    counts = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # Value counts feed three branches; computing them once spares the input.
+    counts = cut(data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
     grid = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(*keys).agg(
         F.percentile_approx("_v", grid, 1000).alias("_bounds"), F.sum("_c").alias("_n")

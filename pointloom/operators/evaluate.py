@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.groups import attach, exact_percentiles
+from ..functions.lineage import cut
 from .neighbors import knn
 from .sampling import sample_n
 
@@ -293,6 +294,7 @@ def excluded_cluster_counts(preds: DataFrame, cls: int = 2, confidence: float =
 def tail_stats(df: DataFrame, value: str, by="scene_id") -> DataFrame:
     """MAD inside +-1.5, 3 and 5 cm, sigma from the IQR and share beyond 2.5 sigma."""
     by = _keys(by)
+    df = cut(df.select(*by, value))
     q = exact_percentiles(df, by, value, {"_q1": 0.25, "_q3": 0.75})
     rows = attach(df.select(*by, value), q, by).withColumn("_sigma", (F.col("_q3") - F.col("_q1")) / 1.349)
     out = rows.groupBy(*by).agg(
