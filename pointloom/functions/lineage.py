@@ -1,26 +1,41 @@
-"""Reliable lineage cuts for iterative jobs."""
+"""Reliable lineage cuts for iterative jobs and shared intermediate results."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
+
+    A folder of our own is made only for local sessions that name none; a cluster
+    session without one is an error, because files on one machine would not
+    survive the loss of an executor.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the shared folder named by ``spark.checkpoint.dir``.
+    """Write ``df`` as a table to the shared folder and read it back.
 
-    A folder of our own is made only for local sessions that name none; a
-    cluster session without one is an error, because files on one machine would
-    not survive the loss of an executor.
+    Like a checkpoint it survives the loss of executors, and it gives the planner
+    the true size: a checkpointed frame keeps the size estimate of its old plan,
+    which multiplies with every join and is useless after a few rounds.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
