@@ -39,7 +39,7 @@ def save_model(model: PipelineModel, path: str, feature_names: list[str], label_
 def load_model(path: str, spark: SparkSession, feature_names: list[str] | None = None):
     """(model, card); missing files, missing keys, other versions or features are errors."""
     try:
-        text = spark.read.option("wholetext", "true").text(f"{path}/card").first()["value"]
+        text = spark.read.text(f"{path}/card", wholetext=True).first()["value"]
     except AnalysisException as e:
         raise FileNotFoundError(f"no model card under {path}") from e
     card = json.loads(text)

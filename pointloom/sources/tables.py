@@ -37,8 +37,8 @@ def parse_reference_volumes(texts: DataFrame) -> DataFrame:
 
 
 def read_reference_volumes(spark: SparkSession, path: str) -> DataFrame:
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*_get_bounding_box.txt").text(path)
+    texts = spark.read.option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*_get_bounding_box.txt").text(path, wholetext=True)
     return parse_reference_volumes(texts.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
