@@ -15,7 +15,7 @@ from pointloom.operators import volumes as V
 from pointloom.sources import fixtures as fx
 
 from .base import CAM, CAPTURES, CPTS, DETS, PM, PREDS, PTS, cpreds, cpts, query, r, rd, rounded
-from .spatial import D3, U, UNI
+from .spatial import D3, U, uni
 from .transforms import _C, _S
 
 # ------------------------------------------------------------------------ cameras
@@ -168,7 +168,7 @@ def _(spark, sf):
 
 @query("deg2_thin_by_distance", f"""WITH {PTS} SELECT scene_id, point_id FROM (SELECT *, 3e0 / greatest({DEPTH}, 3e0) AS s FROM pts) WHERE {U} < least(greatest(s * s, 0.15e0), 1e0)""")
 def _(spark, sf):
-    return S.thin_by_distance(fx.points(spark, sf), ref=3.0, uniform=UNI).select("scene_id", "point_id")
+    return S.thin_by_distance(fx.points(spark, sf), ref=3.0, uniform=uni()).select("scene_id", "point_id")
 
 
 @query("deg3_axial_noise")
@@ -189,7 +189,7 @@ def _(spark, sf):
 
 @query("deg4_dropout", f"WITH {PTS} SELECT scene_id, point_id FROM pts WHERE {U} > 0.15e0")
 def _(spark, sf):
-    return S.dropout(fx.points(spark, sf), 0.15, UNI).select("scene_id", "point_id")
+    return S.dropout(fx.points(spark, sf), 0.15, uni()).select("scene_id", "point_id")
 
 
 @query("deg5_outlier_counts", f"""WITH {PTS} SELECT scene_id, CAST(COUNT(*) + greatest(1, floor(COUNT(*) * 0.03e0)) AS BIGINT) AS n,
@@ -208,7 +208,7 @@ def _(spark, sf):
 @query("smp1_stratified_sample", f"""WITH {PTS} SELECT scene_id, point_id, label FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, label ORDER BY {U}, point_id) AS rn,
   COUNT(*) OVER (PARTITION BY scene_id, label) AS n FROM pts) WHERE rn <= greatest(1, floor(n * 0.3e0))""")
 def _(spark, sf):
-    return S.stratified_sample(fx.points(spark, sf), 0.3, UNI).select("scene_id", "point_id", "label")
+    return S.stratified_sample(fx.points(spark, sf), 0.3, uni()).select("scene_id", "point_id", "label")
 
 
 @query("smp2_context_sample", f"""WITH {PTS}, f AS MATERIALIZED (SELECT *, EXISTS (SELECT 1 FROM pts b WHERE b.label <> 0 AND a.scene_id = b.scene_id AND {D3} < 0.3e0 * 0.3e0) AS near FROM pts a WHERE label = 0),
@@ -216,7 +216,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY near ORDER BY {U}, scene_id, poi
 SELECT scene_id, point_id FROM pts WHERE label <> 0 UNION ALL
 SELECT scene_id, point_id FROM k WHERE rn <= greatest(1, floor(n * CASE WHEN near THEN 0.5e0 ELSE 0.1e0 END))""")
 def _(spark, sf):
-    out = S.context_sample(fx.points(spark, sf), contextual=0.5, bulk=0.1, radius=0.3, uniform=UNI)
+    out = S.context_sample(fx.points(spark, sf), contextual=0.5, bulk=0.1, radius=0.3, uniform=uni())
     return out.select("scene_id", "point_id")
 
 
@@ -226,7 +226,7 @@ def _(spark, sf):
     p = fx.points(spark, sf)
     # A higher minimum for one class makes some scenes drop out.
     enough = p.where("label = 1").groupBy("scene_id").agg(F.count(F.lit(1)).alias("c")).where("c >= 310").select("scene_id")
-    return S.cap_per_class(p.join(enough, "scene_id"), 150, uniform=UNI).select("scene_id", "point_id", "label")
+    return S.cap_per_class(p.join(enough, "scene_id"), 150, uniform=uni()).select("scene_id", "point_id", "label")
 
 
 @query("smp4_class_weights", f"""WITH {PM}, c AS (SELECT label, COUNT(*) AS nc FROM pm GROUP BY 1)
@@ -238,7 +238,7 @@ def _(spark, sf):
 
 @query("smp5_sample_n", f"""WITH {PTS} SELECT scene_id, point_id FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {U}, point_id) AS rn FROM pts) WHERE rn <= 700""")
 def _(spark, sf):
-    return S.sample_n(fx.points(spark, sf), 700, UNI).select("scene_id", "point_id")
+    return S.sample_n(fx.points(spark, sf), 700, uni()).select("scene_id", "point_id")
 
 
 @query("smp6_assign_folds", f"""WITH {PM}, s AS (SELECT scene_id, CAST(-round(stddev_pop(n) * 1000) AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n FROM (SELECT scene_id, label, COUNT(*) AS n FROM pm GROUP BY ALL) GROUP BY 1),

@@ -123,7 +123,12 @@ def _(spark, sf):
 
 
 U = "CAST((point_id * point_id * 7 + point_id * 3001) % 10061 AS DOUBLE) / 10061e0"
-UNI = fx.uniform(7, 3001, 10061)
+
+
+def uni():
+    """The uniform of ``U`` as a column (made on use: columns need a session)."""
+    return fx.uniform(7, 3001, 10061)
+
 
 
 def sample_sql(n: int, src: str = "pts", name: str = "smp") -> str:
@@ -133,7 +138,7 @@ def sample_sql(n: int, src: str = "pts", name: str = "smp") -> str:
 @query("agg14_nn_spacing", f"""WITH {PTS}, {sample_sql(500)}, {nearest_sql("smp", "smp", "'x': 0").replace("a.scene_id = b.scene_id", "a.scene_id = b.scene_id AND a.point_id <> b.point_id")}
 SELECT scene_id, COUNT(*) AS n, {rd("avg(sqrt(m.d2))")} AS mean_nn, {rd("median(sqrt(m.d2))")} AS median_nn FROM nr GROUP BY scene_id""")
 def _(spark, sf):
-    return rounded(E.nn_spacing(fx.points(spark, sf), 500, UNI), "mean_nn", "median_nn")
+    return rounded(E.nn_spacing(fx.points(spark, sf), 500, uni()), "mean_nn", "median_nn")
 
 
 def _side(i: int, where: str) -> str:
@@ -158,7 +163,7 @@ SELECT {rd("b.nn / a.nn")} AS spacing_ratio, {rd("CASE WHEN b.nn / a.nn > 1 THEN
   {rd(_CG)} AS cargo_gap_mm, {_status(_CG)} AS cargo_status, {rd("b.mp / a.mp")} AS count_ratio FROM st1 a, st2 b""")
 def _(spark, sf):
     p = fx.points(spark, sf).withColumn("height", F.col("y"))
-    a, b = [E.dataset_stats(p.where(f"scene_id % 2 = {i}"), 400, UNI, floor_cell=0.2, min_cell=4) for i in (0, 1)]
+    a, b = [E.dataset_stats(p.where(f"scene_id % 2 = {i}"), 400, uni(), floor_cell=0.2, min_cell=4) for i in (0, 1)]
     return rounded(E.calibration_report(a, b), "spacing_ratio", "suggested_voxel", "floor_gap_mm", "cargo_gap_mm", "count_ratio")
 
 
