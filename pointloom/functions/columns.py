@@ -57,19 +57,27 @@ def safe_denominator(c: Column, eps: float = 1e-10) -> Column:
     return F.when(c < eps, F.lit(eps)).otherwise(c)
 
 
-def eigenvalues(xx, yy, zz, xy, xz, yz):
-    """Eigenvalues l1 >= l2 >= l3 of a symmetric 3x3 matrix in closed form."""
-    q = (xx + yy + zz) / 3.0
+def with_eigenvalues(df, prefix: str = ""):
+    """Add l1 >= l2 >= l3 of the symmetric 3x3 matrix in columns xx..yz (closed form).
+
+    The steps are columns of their own: as one expression they would repeat each
+    other and outgrow generated code.
+    """
+    c = lambda n: F.col(prefix + n)
+    xx, yy, zz, xy, xz, yz = [c(n) for n in ("xx", "yy", "zz", "xy", "xz", "yz")]
+    q, p, t = c("_q"), c("_p"), c("_t")
+    df = df.withColumn(prefix + "_q", (xx + yy + zz) / 3.0)
     off = xy * xy + xz * xz + yz * yz
     spread = (xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2.0 * off
-    p = F.sqrt(spread / 6.0)
-    a, b, c = xx - q, yy - q, zz - q
-    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
+    df = df.withColumn(prefix + "_p", F.sqrt(spread / 6.0))
+    a, b, d = xx - q, yy - q, zz - q
+    det = a * (b * d - yz * yz) - xy * (xy * d - yz * xz) + xz * (xy * yz - b * xz)
     r = F.when(p > 0, det / (p * p * p) / 2.0).otherwise(F.lit(0.0))
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))) / 3.0
-    l1 = q + 2.0 * p * F.cos(angle)
-    l3 = q + 2.0 * p * F.cos(angle + F.lit(2.0 * math.pi / 3.0))
-    return l1, 3.0 * q - l1 - l3, l3
+    df = df.withColumn(prefix + "_t", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))) / 3.0)
+    df = df.withColumns({
+        prefix + "l1": q + 2.0 * p * F.cos(t), prefix + "l3": q + 2.0 * p * F.cos(t + F.lit(2.0 * math.pi / 3.0)),
+    })
+    return df.withColumn(prefix + "l2", 3.0 * q - c("l1") - c("l3")).drop(*[prefix + n for n in ("_q", "_p", "_t")])
 
 
 def normal_y(xx, zz, xz, l1, l2, l3):
@@ -84,16 +92,15 @@ def normal_y(xx, zz, xz, l1, l2, l3):
     return F.when(l2 - l3 < 1e-12, F.lit(0.0)).otherwise(unit)
 
 
-def principal_axes(df, names=("xx", "yy", "zz", "xy", "xz", "yz")):
+def principal_axes(df):
     """Add the columns ``l1..l3`` and unit axes ``a1x..a3z`` for covariance columns.
 
     Each axis is the longest cross product of two rows of ``A - l I``; the
     second axis is completed from the other two, so the frame is orthogonal.
     Degenerate directions fall back to the coordinate axes.
     """
-    xx, yy, zz, xy, xz, yz = [F.col(n) for n in names]
-    l1, l2, l3 = eigenvalues(xx, yy, zz, xy, xz, yz)
-    df = df.withColumns({"l1": l1, "l2": l2, "l3": l3})
+    xx, yy, zz, xy, xz, yz = [F.col(n) for n in ("xx", "yy", "zz", "xy", "xz", "yz")]
+    df = with_eigenvalues(df)
 
     def row_cross(lam, i, j):
         rows = [

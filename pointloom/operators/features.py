@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    at_least, cell, covariance, covariance_sums, eigenvalues, normal_y, safe_denominator,
+    at_least, cell, covariance, covariance_sums, normal_y, safe_denominator, with_eigenvalues,
 )
 from ..functions.groups import attach
 from ..functions.lineage import cut
@@ -40,10 +40,8 @@ def _relative():
 
 def local_pca(neighbors: DataFrame, ddof: int = 0) -> DataFrame:
     """Eigenvalues of each neighbourhood's covariance and |n_y| of its normal."""
-    sums = neighbors.groupBy("scene_id", "point_id").agg(*covariance_sums(*_relative()))
-    m = sums.withColumns(covariance(ddof=ddof))
-    l1, l2, l3 = eigenvalues(*[F.col(c) for c in ("xx", "yy", "zz", "xy", "xz", "yz")])
-    m = m.withColumns({"l1": l1, "l2": l2, "l3": l3})
+    sums = neighbors.groupBy("scene_id", "point_id", "home").agg(*covariance_sums(*_relative()))
+    m = with_eigenvalues(sums.withColumns(covariance(ddof=ddof)))
     return m.select(
         "scene_id", "point_id", F.col("n").alias("k"), "l1", "l2", "l3",
         normal_y(F.col("xx"), F.col("zz"), F.col("xz"), F.col("l1"), F.col("l2"), F.col("l3")).alias("normal_y"),
@@ -54,16 +52,13 @@ def _two_scale_pca(near: DataFrame, k: int, ddof: int, *extra) -> DataFrame:
     """PCA of the first ``k`` and of all neighbours in one pass over the pairs."""
     small = F.col("rank") <= k
     rel = _relative()
-    sums = near.groupBy("scene_id", "point_id").agg(
+    sums = near.groupBy("scene_id", "point_id", "home").agg(
         *covariance_sums(*rel, when=small, prefix="s_"), *covariance_sums(*rel, prefix="b_"), *extra
     )
     m = sums.withColumns({**covariance("s_", ddof), **covariance("b_", ddof)})
     for p in ("s_", "b_"):
-        parts = {c: F.col(p + c) for c in ("xx", "yy", "zz", "xy", "xz", "yz")}
-        l1, l2, l3 = eigenvalues(*parts.values())
-        m = m.withColumns({f"{p}l1": l1, f"{p}l2": l2, f"{p}l3": l3})
-        ny = normal_y(parts["xx"], parts["zz"], parts["xz"], F.col(f"{p}l1"), F.col(f"{p}l2"), F.col(f"{p}l3"))
-        m = m.withColumn(f"{p}ny", ny)
+        m = with_eigenvalues(m, p)
+        m = m.withColumn(f"{p}ny", normal_y(*[F.col(p + c) for c in ("xx", "zz", "xz", "l1", "l2", "l3")]))
     return m
 
 

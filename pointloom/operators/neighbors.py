@@ -94,8 +94,9 @@ def knn(
 ) -> DataFrame:
     """Exact k nearest neighbours within each scene.
 
-    Returns ``scene_id, point_id, x, y, z, rank, nbr_id, d2, nx, ny, nz`` with ties
-    broken by ``nbr_id``.  With ``include_self`` the point itself competes like any
+    Returns ``scene_id, point_id, x, y, z, rank, nbr_id, d2, nx, ny, nz, home`` with ties
+    broken by ``nbr_id``; ``home`` is the same for all rows of a point, and grouping by it
+    as well spares a shuffle, because the rows are already spread by it.  With ``include_self`` the point itself competes like any
     other candidate; scenes with fewer than ``k`` points give all of them.
 
     Each query gets the grid level that fits the local density, so a dense spot
@@ -128,11 +129,11 @@ def knn(
             F.collect_list(F.struct("rank", "nbr_id", "d2", "nx", "ny", "nz")).alias("_list")
         )
         copied = attach(extra, lists, [scene, "_first"]).withColumn("_e", F.explode("_list"))
-        ranked = ranked.unionByName(copied.select(scene, key, *XYZ, "_e.*"))
+        ranked = ranked.unionByName(copied.select(scene, key, *XYZ, "_e.*", F.lit(-1).cast("long").alias("home")))
     if include_self:
         return ranked
     others = ranked.where(F.col("nbr_id") != F.col(key))
-    again = Window.partitionBy(key, scene).orderBy("d2", "nbr_id")
+    again = Window.partitionBy(key, scene, "home").orderBy("d2", "nbr_id")
     return others.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
 
 
@@ -183,7 +184,7 @@ def _knn_direct(pts, direct, want, base, scene, key):
     pairs = near(settled.select(scene, key, *XYZ, "_l", "_base", "_cell"))
     return (
         pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= want)
-        .select(scene, key, *XYZ, "rank", "nbr_id", "d2", "nx", "ny", "nz")
+        .select(scene, key, *XYZ, "rank", "nbr_id", "d2", "nx", "ny", "nz", F.col("_cell").alias("home"))
     )
 
 
