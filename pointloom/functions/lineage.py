@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -39,3 +40,27 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that :func:`cut` returned and nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/cut-" in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the files behind a frame that :func:`cut` returned (what the planner knows of it)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def with_small(df: DataFrame, small: DataFrame, on, how: str = "left", limit: int = 8 << 20) -> DataFrame:
+    """Join a per-group table that is usually small.
+
+    The table is written first; up to ``limit`` bytes on disk it is broadcast, above
+    it the join shuffles and adaptive execution splits partitions of hot keys.
+    """
+    kept = cut(small)
+    return df.join(F.broadcast(kept) if stored_bytes(kept) <= limit else kept, on, how)
