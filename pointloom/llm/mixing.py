@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.lineage import cut, with_small
 
-from .text import symbol_count, word_count
+from .text import let, symbol_count, word_count
 
 # Weights by the position of a source in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -25,9 +25,9 @@ def uniform(seed: int, *keys) -> Column:
     return (bits + 0.5) / float(1 << 52)
 
 
-def quality_weight(text: str = "text", size: str = "size") -> Column:
+def quality_weight(text: str, size: Column) -> Column:
     """1 for plain text, down to 0.1 for a text with a symbol in every fifth word or more."""
-    return F.greatest(F.lit(0.1), 1 - 5 * symbol_count(text).cast("double") / F.greatest(F.col(size), F.lit(1)).cast("double"))
+    return F.greatest(F.lit(0.1), 1 - 5 * symbol_count(text).cast("double") / F.greatest(size, F.lit(1)).cast("double"))
 
 
 def source_targets(sized: DataFrame, source: str, weights=WEIGHTS, share_pct: int = SHARE_PCT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -72,10 +72,12 @@ def mix_sources(
     The names of the added columns and those with a leading ``_`` are reserved; other columns pass through.
     """
     names = [c for c in docs.columns]
-    key = -F.log(uniform(seed, doc_id)) / quality_weight(text)
+    key = let(word_count(text), lambda n: F.struct(n.alias("n"), (-F.log(uniform(seed, doc_id)) / quality_weight(text, n)).alias("k")))
+    # A generated row keeps its values: filters and joins on the slice do not count the words again.
     keyed = (
-        docs.withColumn("size", word_count(text)).withColumn("_source", F.struct(F.col(source).alias("s")))
-        .withColumn("_key", key).withColumn("_slice", F.floor(F.col("_key") / (F.col("_key") + 1) * SLICES).cast("int"))
+        docs.withColumn("_m", F.explode(F.array(key))).withColumn("_source", F.struct(F.col(source).alias("s")))
+        .withColumns({"size": F.col("_m.n"), "_key": F.col("_m.k"), "_slice": F.floor(F.col("_m.k") / (F.col("_m.k") + 1) * SLICES).cast("int")})
+        .drop("_m")
     )
     slices = cut(keyed.groupBy("_source", "_slice").agg(F.sum("size").alias("size")))
     plain = slices.select(F.col("_source.s").alias("_s"), "size")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import hosts, mixing, packing, quality, simhash
+from . import hosts, licenses, lm, merkle, mixing, packing, quality, simhash, toxicity, warc
 from .text import held_out
 
 QUERIES: dict[str, Callable] = {}
@@ -117,3 +117,56 @@ def op10(spark, sf_dir):
     judged = hosts.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     counts = [f"_counts.{c}" for c in hosts.COUNTS if c != "n_lines"]
     return judged.select("doc_id", *counts, "base_failed", "kept")
+
+@query("op2_merkle")
+def op2(spark, sf_dir):
+    """Merkle fingerprints of every text and its edited text."""
+    return merkle.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op9_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+""")
+def op9(spark, sf_dir):
+    """Records of the archives of all pages, written and read back."""
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op7_language_model")
+def op7(spark, sf_dir):
+    """Base and model log probability of every document."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def document_paths(docs: DataFrame) -> DataFrame:
+    """``doc_id, path, text``: documents as files of a tree of sources.
+
+    Every fiftieth id is its directory's licence file, every thousandth that of the directory above.
+    """
+    d = F.col("doc_id")
+    top = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(d / 1000).cast("string"))
+    leaf = F.concat_ws("/", top, F.floor(d / 50).cast("string"))
+    name = F.when(d % 1000 == 0, F.concat_ws("/", top, F.lit("LICENSE.txt"))).when(d % 50 == 0, F.concat_ws("/", leaf, F.lit("LICENSE")))
+    return docs.select("doc_id", F.coalesce(name, F.concat(leaf, F.lit("/"), d.cast("string"), F.lit(".txt"))).alias("path"), "text")
+
+
+@query("op4_licenses")
+def op4(spark, sf_dir):
+    """Own or inherited licence of every document."""
+    files = document_paths(table(spark, sf_dir, "documents"))
+    return licenses.scan_files(files).drop("text")
