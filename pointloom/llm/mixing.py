@@ -96,7 +96,7 @@ def mix_sources(
     planned = with_small(keyed, plan, "_source")
     out = [*names, "size", "source_size", "target", "copies"]
     # A source whose budget no slice exceeds (all of its words, or none at all) has no border.
-    inside = F.col("_border").isNull() & (F.col("_budget") > 0) | (F.col("_slice") < F.col("_border"))
+    inside = F.when(F.col("_border").isNull(), F.col("_budget") > 0).otherwise(F.col("_slice") < F.col("_border"))
     settled = planned.where(F.col("_border").isNull() | (F.col("_slice") != F.col("_border"))).withColumn("copies", F.col("_epochs") + inside.cast("int"))
     ranked = Window.partitionBy("_source", "_slice").orderBy("_key", F.col(doc_id).asc_nulls_last(), F.xxhash64(F.col(text))).rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("_before") + F.sum("size").over(ranked) - F.col("size")

@@ -162,10 +162,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Bin of each length, placed in the given order.
 
-    With N(g) open bins of residual gap g, a length s goes where the sum of N(g)^2 becomes
-    smallest: into a bin of gap g >= s it takes N(g) down and N(g - s) up, a new bin
-    takes N(capacity - s) up; bins without a gap are closed and do not count.  Of equal
-    choices the tightest gap wins and a new bin comes last.
+    With N(g) open bins of residual gap g, a length s goes into the open bin that makes the
+    sum of N(g)^2 smallest: a bin of gap g >= s takes N(g) down and N(g - s) up; bins without a gap are closed and
+    do not count.  Of equal choices the tightest gap wins; a bin is opened only if no open one has room.
     """
     counts = np.zeros(capacity + 1, np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -178,8 +177,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         if s < capacity and gaps[0] > 0:
             change[0] = 1 - 2 * gaps[0]
         best = int(change.argmin()) if s < capacity else -1
-        fresh = 2 * counts[capacity - s] + 1 if s < capacity else 0
-        if best >= 0 and gaps[best] > 0 and change[best] <= fresh:
+        if best >= 0 and gaps[best] > 0:
             gap = s + best
             bin_ = open_bins[gap].pop()
             counts[gap] -= 1

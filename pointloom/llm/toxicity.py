@@ -19,6 +19,8 @@ BUCKETS = (1 << 17, 1 << 14, 1 << 16, 1 << 14)
 #: Buckets in fewer training texts than this stay without effect.
 MIN_TEXTS = 6
 WIDTH, HIDDEN = 8, 8
+#: Optimiser steps of a round at least.
+LEAST_STEPS = 80
 #: Bytes of text that are turned into windows at a time.
 CHUNK_BYTES = 1 << 20
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -268,8 +270,10 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, rounds: int = 3
         chosen = np.concatenate([first, chosen[len(first) :][labels[text[chosen[len(first) :]]] == 0]])
         y = labels[text[chosen]]
         weigh = np.where(y == 1, 0.5 * len(y) / max(1, y.sum()), 0.5 * len(y) / max(1, (1 - y).sum()))
-        for _ in range(epochs):
-            for part in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // 256)):
+        batch = 64 if len(chosen) < 4000 else 256
+        steps = max(1, len(chosen) // batch)
+        for _ in range(max(epochs, -(-LEAST_STEPS // steps))):
+            for part in np.array_split(rng.permutation(len(chosen)), steps):
                 at = place[chosen[part]]
                 _, grads = gradients(net, rows[at], at >= 0, y[part], weigh[part])
                 for name, dead in rare.items():

@@ -99,7 +99,7 @@ class Archive:
 
     def __init__(self, path: str):
         system, name = _open(path)
-        self.path, self.out, self.waiting, self.held, self.compressor = path, system.open_output_stream(name), [], 0, None
+        self.path, self.out, self.waiting, self.held, self.compressor = path, system.open_output_stream(name, compression=None), [], 0, None
         self.records = self.raw = self.stored = 0
 
     def _put(self, data: bytes) -> None:
@@ -136,7 +136,7 @@ class Archive:
 def read_archive(path: str) -> Iterator[bytes]:
     """Records of an archive, one after the other."""
     system, name = _open(path)
-    with system.open_input_stream(name) as source:
+    with system.open_input_stream(name, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != DICTIONARY_FRAME:
             raise ValueError(f"{path} does not begin with a dictionary")
