@@ -271,10 +271,10 @@ def _(spark, sf):
 
 
 @query("win3_top_clusters", f"""WITH {SHAPE} SELECT scene_id, cluster_id, n, {rd("h")} AS h, {rd("xz")} AS xz, {rd("h_xz")} AS h_xz, {rd("dist")} AS dist, CAST(rn - 1 AS INTEGER) AS size_rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY n DESC, cluster_id) AS rn FROM shape) WHERE rn <= 3""")
+  SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY n DESC, cluster_id) AS rn FROM shape) WHERE rn <= 6""")
 def _(spark, sf):
     c = cpts(spark, sf)
-    return rounded(C.top_clusters(c, flat_floor(c), cargo_anchor(c), k=3).drop("score"), "h", "xz", "h_xz", "dist")
+    return rounded(C.top_clusters(c, flat_floor(c), cargo_anchor(c), k=6).drop("score"), "h", "xz", "h_xz", "dist")
 
 
 @query("win4_rank_candidates", f"""WITH {CPTS} SELECT scene_id, cluster_id, n, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY n DESC, cluster_id) - 1 AS INTEGER) AS cand_rank FROM cpred""")

@@ -297,7 +297,7 @@ def _(spark, sf):
 
 # The fixture is much sparser than real clouds, so wider radii are used.
 SPARSE = replace(P.ExtractionParams(), anchor_eps=0.15, anchor_min_pts=10, cargo_eps=0.2, cargo_min_pts=12, pallet_eps=0.25, pallet_min_pts=12,
-                 pallet_min_density=50.0, floor_hypotheses=64)
+                 pallet_min_density=50.0)
 
 ANCHOR = f"""{PTS}, hi_ AS MATERIALIZED (SELECT * FROM pts WHERE y > 0.2e0), {dbscan_sql("an", "hi_", 0.15, 10, D2)},
 anc_ AS (SELECT scene_id, cluster_id FROM (SELECT scene_id, cluster_id, row_number() OVER (PARTITION BY scene_id ORDER BY COUNT(*) DESC, cluster_id) AS rn

@@ -11,29 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import col
-from .lineage import cut
+from .lineage import cut, with_small
 
-# Largest per-group table (rows of a few numbers each) that is sent to every executor.
-BROADCAST_ROWS = 500_000
-SALTS = 64
+# Size on disk up to which a per-group table is sent to every executor.
+BROADCAST_BYTES = 8 << 20
 
 
-def attach(
-    df: DataFrame, small: DataFrame, keys, how: str = "left", max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def attach(df: DataFrame, small: DataFrame, keys, how: str = "left", max_bytes: int | None = None) -> DataFrame:
     """Join a per-group table to many rows without gathering a group in one task.
 
-    The table is computed once, kept as a checkpoint and counted.  Up to
-    ``max_rows`` rows it is broadcast (lower the limit for wide rows); beyond that the rows are spread over
-    salts so that a hot group is still joined by many tasks.
+    The table is computed once and kept; its bytes decide.  Up to ``max_bytes`` it is
+    broadcast; beyond that it is a plain join, in which adaptive execution splits the partitions of hot keys.  Fine-grained
+    keys, which have no hot key, are copied nowhere.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    kept = cut(small)
-    if kept.count() <= max_rows:
-        return df.join(F.broadcast(kept), keys, how)
-    salted = kept.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, [*keys, "_salt"], how).drop("_salt")
+    return with_small(df, small, keys, how, BROADCAST_BYTES if max_bytes is None else max_bytes)
 
 
 def with_stats(df: DataFrame, by, *aggregates: Column) -> DataFrame:
@@ -64,7 +56,7 @@ def exact_percentiles(
         F.percentile_approx("_v", grid, 1000).alias("_bounds"), F.sum("_c").alias("_n")
     )
     placed = (
-        attach(counts, bounds, keys, max_rows=100_000)
+        attach(counts, bounds, keys)
         .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))))
         .drop("_bounds")
     )

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions.columns import cell, hash_uniform, squared_distance
 from ..functions.groups import attach, first_n, with_stats
+from ..functions.graph import connected_components
 from ..functions.lineage import cut
 from .grids import column_stats
 from .neighbors import _offsets, _weighted_counts
 from .transforms import above_floor, height_slice, inside_anchor
 
 XYZ = ("x", "y", "z")
-MAX_ROUNDS = 60
 
 
 # ------------------------------------------------------------------- components
@@ -22,30 +22,13 @@ MAX_ROUNDS = 60
 def components(nodes: DataFrame, edges: DataFrame, scene: str = "scene_id") -> DataFrame:
     """Smallest node id reachable from each node: ``scene_id, id, root``.
 
-    Each round takes the smallest root among the neighbours and then follows the
-    root's own root twice, so the number of rounds grows with the logarithm of the
-    longest path.  Every round is checkpointed.
+    Nodes without edges are their own component and take no part in the search,
+    whose rounds grow with the logarithm of the number of nodes (no cap).
     """
-    both = edges.select(scene, F.col("a").alias("id"), F.col("b").alias("to")).unionByName(
-        edges.select(scene, F.col("b").alias("id"), F.col("a").alias("to"))
-    )
-    both = cut(both)
-    # Nodes without edges are their own component and leave the loop at once.
-    state = cut(nodes.select(scene, "id").withColumn("root", F.col("id")))
-    for _ in range(MAX_ROUNDS):
-        lowest = both.join(
-            state.select(scene, F.col("id").alias("to"), F.col("root").alias("_r")), [scene, "to"]
-        ).groupBy(scene, "id").agg(F.min("_r").alias("_low"))
-        hooked = state.join(lowest, [scene, "id"], "left").select(
-            scene, "id", F.least("root", "_low").alias("root"), F.col("root").alias("_old")
-        )
-        parents = hooked.select(scene, F.col("id").alias("root"), F.col("root").alias("_up"))
-        jumped = hooked.join(parents, [scene, "root"]).select(scene, "id", F.col("_up").alias("root"), "_old")
-        state = cut(jumped)
-        if state.where(F.col("root") != F.col("_old")).isEmpty():
-            return state.drop("_old")
-        state = state.drop("_old")
-    raise RuntimeError("connected components did not settle")
+    end = lambda c: F.struct(F.col(scene).alias("s"), F.col(c).alias("id"))
+    found = connected_components(edges.select(end("a").alias("a"), end("b").alias("b")))
+    linked = found.select(F.col("node.s").alias(scene), F.col("node.id").alias("id"), F.col("root.id").alias("_root"))
+    return nodes.select(scene, "id").join(linked, [scene, "id"], "left").select(scene, "id", F.coalesce("_root", "id").alias("root"))
 
 
 def grid_components(cells: DataFrame, by="scene_id") -> DataFrame:
@@ -314,7 +297,7 @@ def best_plane(df: DataFrame, planes: DataFrame, tolerance: float = 0.025) -> Da
     packed = planes.groupBy("scene_id").agg(
         F.sort_array(F.collect_list(F.struct("h", "a", "b", "c", "d"))).alias("_planes")
     )
-    rows = attach(df.select("scene_id", *XYZ), packed, "scene_id", "inner", max_rows=2_000).withColumn("_p", F.explode("_planes"))
+    rows = attach(df.select("scene_id", *XYZ), packed, "scene_id", "inner").withColumn("_p", F.explode("_planes"))
     inlier = F.abs(
         F.col("_p.a") * F.col("x") + F.col("_p.b") * F.col("y") + F.col("_p.c") * F.col("z") + F.col("_p.d")
     ) <= tolerance

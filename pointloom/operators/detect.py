@@ -41,7 +41,7 @@ def edge_flags(dets: DataFrame, cameras=P.PINHOLE_CAMERAS, margin: float = 10) -
 def in_bbox(projected: DataFrame, dets: DataFrame, pad: float = 5) -> DataFrame:
     """Add ``in_box``: valid pixel inside any box of its scene and camera, padded (inclusive)."""
     boxes = dets.groupBy("scene_id", "camera").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_boxes"))
-    rows = attach(projected, boxes, ["scene_id", "camera"], max_rows=100_000)
+    rows = attach(projected, boxes, ["scene_id", "camera"])
 
     def inside(b):
         return (
@@ -64,7 +64,7 @@ def assign_source_camera(merged: DataFrame, counts: DataFrame) -> DataFrame:
     packed = ranges.groupBy("scene_id").agg(
         F.sort_array(F.collect_list(F.struct("_hi", "camera", "n"))).alias("_ranges")
     )
-    rows = attach(merged, packed, "scene_id", max_rows=100_000)
+    rows = attach(merged, packed, "scene_id")
     hit = F.element_at(F.filter("_ranges", lambda r: F.col("idx") < r["_hi"]), 1)
     rows = rows.withColumn("_r", F.when(F.size(F.filter("_ranges", lambda r: F.col("idx") < r["_hi"])) > 0, hit))
     return rows.withColumns({
@@ -188,7 +188,7 @@ def best_azimuth(
         (F.col("wz") + F.col("_t.si") * (F.col("px") - F.col("cx0")) + F.col("_t.co") * (F.col("pz") - F.col("cz0"))).alias("cz"),
     )
     packed = tried.groupBy("scene_id", "lo", "hi").agg(F.collect_list(F.struct("az", "cx", "cz")).alias("_tries"))
-    rows = attach(points.select("scene_id", "x", "y", "z"), packed, "scene_id", "inner", max_rows=100_000)
+    rows = attach(points.select("scene_id", "x", "y", "z"), packed, "scene_id", "inner")
     rows = rows.where(F.col("y").between(F.col("lo"), F.col("hi"))).withColumn("_t", F.explode("_tries"))
     hit = squared_distance(["x", "z"], ["_t.cx", "_t.cz"]) <= (2 * radius) * (2 * radius)
     scores = rows.where(hit).groupBy("scene_id", F.col("_t.az").alias("az")).agg(F.count(F.lit(1)).alias("score"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom import params as P
-from pointloom.functions.groups import exact_percentiles, first_n, running_index
+from pointloom.functions.groups import attach, exact_percentiles, first_n, running_index
 from pointloom.operators import cluster as C
 from pointloom.operators import grids as G
 from pointloom.operators import neighbors as N
@@ -209,3 +209,22 @@ def test_rotation_levels_a_tilted_plane(spark):
     planes = spark.createDataFrame([(0, -0.1, 1.0, 0.0, -0.3)], "scene_id long, a double, b double, c double, d double")
     spread = T.level_to_plane(pts, planes).selectExpr("max(y) - min(y) AS s").first()["s"]
     assert spread < 1e-9
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 40])
+def test_attach_is_the_same_for_any_limit(spark, limit):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(50)], "k long, v long")
+    small = spark.createDataFrame([(0, {"a": 1}), (1, {"b": 2})], "k long, m map<string,int>")
+    got = {(r["v"], str(r["m"])) for r in attach(rows, small, "k", max_bytes=limit).collect()}
+    assert got == {(i, str({0: {"a": 1}, 1: {"b": 2}}.get(i % 3))) for i in range(50)}
+
+
+def test_components_of_long_shapes(spark):
+    """A horseshoe of cells and a sorted chain settle; 80-cell legs once needed a round per cell."""
+    cells = [(1, 0, j) for j in range(80)] + [(1, 4, j) for j in range(80)] + [(1, i, 0) for i in range(1, 4)] + [(1, 2, 40)]
+    got = C.grid_components(spark.createDataFrame(cells, "scene_id long, i long, j long"))
+    assert got.groupBy("component").count().orderBy("component").collect()[0]["count"] == 163 and got.select("component").distinct().count() == 2
+    n = 3000
+    nodes = spark.createDataFrame([(1, i) for i in range(n + 1)], "scene_id long, id long")
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(n - 1)], "scene_id long, a long, b long")
+    assert {(r["root"], r["count"]) for r in C.components(nodes, edges).groupBy("root").count().collect()} == {(0, n), (n, 1)}
