@@ -13,6 +13,8 @@ from .quality import labelled_sample
 
 #: Labelled documents the network learns from at most (those with the smallest id hashes).
 MAX_LABELLED = 6_000
+#: Bytes of whole texts it learns from at most.
+MAX_BYTES = 16 << 20
 WINDOW, STRIDE = 32, 24
 #: Hash buckets of whole words, and of character inputs: first 4, first 6 and last 4 bytes.
 BUCKETS = (1 << 17, 1 << 14, 1 << 16, 1 << 14)
@@ -60,6 +62,18 @@ def word_inputs(texts: list[bytes]):
     return rows, per_text
 
 
+def _chunks(texts: list[bytes]):
+    """Ranges of texts of at most ``CHUNK_BYTES``, or of one text."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK_BYTES):
+            size += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
+
+
 def windows(per_text: np.ndarray):
     """Word index per window and place (-1: none) and the text of each window.
 
@@ -199,14 +213,17 @@ class Model:
     constant: float | None = None
 
     def window_logits(self, rows: np.ndarray, place: np.ndarray, batch: int = 4096) -> np.ndarray:
-        net = self.net
-        gates = {}
-        for d in "fb":  # input parts once per word; windows share them
-            x = sum(net[f"e{k}"][rows[:, k]] for k in range(4))
-            gates[d] = np.concatenate([x @ net[f"w{d}"] + net[f"c{d}"], net[f"c{d}"][None]])
-        out = [
-            forward(net, {d: gates[d][place[i : i + batch]] for d in "fb"}, place[i : i + batch] >= 0)[0] for i in range(0, len(place), batch)
-        ]
+        net, out = self.net, []
+        for i in range(0, len(place), batch):
+            part = place[i : i + batch]
+            # Windows follow each other, so a batch needs a run of words; their input parts are computed once.
+            low, high = int(part[:, 0].min()), int(part.max()) + 1
+            gates = {}
+            x = sum(net[f"e{k}"][rows[low:high, k]] for k in range(4))
+            for d in "fb":
+                gates[d] = np.concatenate([x @ net[f"w{d}"] + net[f"c{d}"], net[f"c{d}"][None]])
+            at = np.where(part >= 0, part - low, high - low)
+            out.append(forward(net, {d: gates[d][at] for d in "fb"}, part >= 0)[0])
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -214,19 +231,13 @@ class Model:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         top = np.full(len(texts), self.net["k"][0], np.float64)
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK_BYTES):
-                size += len(texts[to])
-                to += 1
+        for at, to in _chunks(texts):
             rows, per_text = word_inputs(texts[at:to])
             place, text = windows(per_text)
             if len(place):
                 most = np.full(to - at, -np.inf)
                 np.maximum.at(most, text, self.window_logits(rows, place))
                 top[at:to] = np.where(np.isfinite(most), most, top[at:to])
-            at = to
         return _sigmoid(self.slope * top + self.intercept)
 
 
@@ -251,7 +262,8 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, rounds: int = 3
     if not len(labels) or labels.min() == labels.max():
         return Model(initial(seed), constant=float((labels.sum() + 0.5) / (len(labels) + 1)) if len(labels) else 0.5)
     rng, net = np.random.default_rng(seed), initial(seed)
-    rows, per_text = word_inputs(texts)
+    parts = [word_inputs(texts[a:b]) for a, b in _chunks(texts)]
+    rows, per_text = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     place, text = windows(per_text)
     odds = evidence(rows, np.repeat(np.arange(len(texts)), per_text), labels)
     rare = {f"e{k}": np.isnan(o) for k, o in enumerate(odds)}
@@ -288,12 +300,19 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, rounds: int = 3
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELLED) -> Model:
-    """Fit on at most ``most`` labelled documents (the bound of what the driver holds)."""
+    """Fit on at most ``most`` labelled documents of ``MAX_BYTES`` together (the bound of what the driver holds)."""
     sample = labelled_sample(labels, label, most=most)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     # The sample has at most ``most`` rows of two numbers.
-    rows = own.join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(most).collect()
-    return fit([bytes(r["text"] or b"") for r in rows], np.array([r["label"] for r in rows], np.float64))
+    rows = own.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
+    texts, given, size = [], [], 0
+    for r in rows.toLocalIterator():
+        size += len(r["text"] or b"")
+        if texts and size > MAX_BYTES:
+            break
+        texts.append(bytes(r["text"] or b""))
+        given.append(r["label"])
+    return fit(texts, np.array(given, np.float64))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
