@@ -151,7 +151,7 @@ def read_archive(path: str) -> Iterator[bytes]:
             if frame.eof:
                 yield b"".join(parts)
                 rest, frame, parts = frame.unused_data, decompressor.decompressobj(), []
-        if any(parts):
+        if parts:
             raise ValueError(f"{path} is cut short")
 
 
