@@ -40,7 +40,7 @@ def _relative():
 
 def local_pca(neighbors: DataFrame, ddof: int = 0) -> DataFrame:
     """Eigenvalues of each neighbourhood's covariance and |n_y| of its normal."""
-    sums = neighbors.groupBy("scene_id", "point_id", "home").agg(*covariance_sums(*_relative()))
+    sums = neighbors.groupBy("scene_id", "point_id", "home", "home_z").agg(*covariance_sums(*_relative()))
     m = with_eigenvalues(sums.withColumns(covariance(ddof=ddof)))
     return m.select(
         "scene_id", "point_id", F.col("n").alias("k"), "l1", "l2", "l3",
@@ -52,7 +52,7 @@ def _two_scale_pca(near: DataFrame, k: int, ddof: int, *extra) -> DataFrame:
     """PCA of the first ``k`` and of all neighbours in one pass over the pairs."""
     small = F.col("rank") <= k
     rel = _relative()
-    sums = near.groupBy("scene_id", "point_id", "home").agg(
+    sums = near.groupBy("scene_id", "point_id", "home", "home_z").agg(
         *covariance_sums(*rel, when=small, prefix="s_"), *covariance_sums(*rel, prefix="b_"), *extra
     )
     m = sums.withColumns({**covariance("s_", ddof), **covariance("b_", ddof)})

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cell, squared_distance
 from ..functions.groups import attach
-from ..functions.lineage import cut
+from ..functions.lineage import cut, discard
 
 XYZ = ("x", "y", "z")
 
@@ -37,55 +37,86 @@ def _spread(df: DataFrame, cells: list[str]) -> DataFrame:
 # ------------------------------------------------------------- multi-level grid
 #
 # A scene's finest cells are numbered from its minimum corner; the cell index at
-# level l is the fine index shifted right by l, so cells nest.  Level and the three
-# indices are packed in one long (19 bits per axis, indices start at 1 so that the
-# neighbour below exists): one key sorts, hashes and compares fast.
+# level l is the fine index shifted right by l, so cells nest.  Level, x and y
+# index are packed in one long and z is a second one (28 bits per axis, indices start
+# at 1 so that the neighbour below exists): two keys sort, hash and compare fast.
 
-_AXIS_BITS = 19
-_DELTAS = [
-    (a << (2 * _AXIS_BITS)) + (b << _AXIS_BITS) + c for a, b, c in product((-1, 0, 1), repeat=3)
-]
+_AXIS_BITS = 28
+_CELL = ["_cell", "_cz"]
+_DELTAS = [((a << _AXIS_BITS) + b, c) for a, b, c in product((-1, 0, 1), repeat=3)]
+#: Target locations that a finest cell may hold.
+_TARGETS = 4
+#: Levels that a scene's grid gains at a time while a cell is crowded.
+_FINER = 3
 
 
 def _scene_grid(df: DataFrame, base: float, scene: str, *extra: Column) -> DataFrame:
-    """Per scene: corner, cell width (coarser only for huge extents) and top level."""
+    """Per scene: corner, extent, cell width (coarser only beyond 2^27 cells) and narrowest width."""
     extent = F.greatest(*[F.max(a) - F.min(a) for a in XYZ])
     grid = df.groupBy(scene).agg(
         *[F.min(a).alias(f"_min_{a}") for a in XYZ], extent.alias("_extent"), *extra
     )
-    return grid.withColumn(
-        "_base", F.greatest(F.lit(base), F.col("_extent") / float(1 << (_AXIS_BITS - 1)))
-    ).withColumn("_top", (F.ceil(F.log2(F.col("_extent") / F.col("_base") + 2.0)) + 1).cast("int")).drop("_extent")
+    narrowest = F.col("_extent") / float(1 << (_AXIS_BITS - 1))
+    return grid.withColumn("_base", F.greatest(F.lit(base), narrowest)).withColumn("_floor", narrowest)
+
+
+def _top() -> Column:
+    return (F.ceil(F.log2(F.col("_extent") / F.col("_base") + 2.0)) + 1).cast("int").alias("_top")
 
 
 def _fine_index(axis: str) -> Column:
     return F.floor((F.col(axis) - F.col(f"_min_{axis}")) / F.col("_base")).cast("long").alias(f"_i_{axis}")
 
 
-def _code(level: str) -> Column:
-    """Packed cell key at the level held by column ``level``."""
+def _code(level: str) -> dict[str, Column]:
+    """Packed cell keys at the level held by column ``level``."""
     x, y, z = [f"(shiftright(_i_{a}, {level}) + 1)" for a in XYZ]
     bits = _AXIS_BITS
-    return F.expr(
-        f"shiftleft(CAST({level} AS BIGINT), {3 * bits}) + shiftleft({x}, {2 * bits}) + shiftleft({y}, {bits}) + {z}"
-    )
+    packed = F.expr(f"shiftleft(CAST({level} AS BIGINT), {2 * bits}) + shiftleft({x}, {bits}) + {y}")
+    return {"_cell": packed, "_cz": F.expr(z)}
 
 
 _FINE = [f"_i_{a}" for a in XYZ]
 
 
 def _all_levels(cells: DataFrame, top: Column) -> DataFrame:
-    return cells.withColumn("_l", F.explode(F.sequence(F.lit(0), top))).withColumn("_cell", _code("_l"))
+    return cells.withColumn("_l", F.explode(F.sequence(F.lit(0), top))).withColumns(_code("_l"))
 
 
 def _around(cells: DataFrame, scene: str) -> DataFrame:
-    """Each query cell with itself and its 26 neighbours: ``_cell`` (neighbour), ``_home``."""
-    deltas = F.explode(F.array(*[F.lit(d).cast("long") for d in _DELTAS]))
-    return cells.select(scene, F.col("_cell").alias("_home"), deltas.alias("_d")).select(
-        scene, "_home", (F.col("_home") + F.col("_d")).alias("_cell")
+    """Each query cell with itself and its 26 neighbours: ``_cell, _cz`` (neighbour), ``_home, _home_z``."""
+    deltas = F.explode(F.array(*[
+        F.struct(F.lit(d).cast("long").alias("d"), F.lit(z).cast("long").alias("z")) for d, z in _DELTAS
+    ]))
+    return cells.select(scene, F.col("_cell").alias("_home"), F.col("_cz").alias("_home_z"), deltas.alias("_d")).select(
+        scene, "_home", "_home_z", (F.col("_home") + F.col("_d.d")).alias("_cell"), (F.col("_home_z") + F.col("_d.z")).alias("_cz")
     )
 
 
+def _fitted_grid(df: DataFrame, grid: DataFrame, crowd: int, scene: str, *extra: Column) -> tuple[DataFrame, DataFrame]:
+    """``grid`` made finer per scene until no finest cell holds more than ``crowd`` rows, and the occupied cells.
+
+    Each round divides the cell width of the scenes that still have a crowded cell.  It ends when
+    none has, or when the width is 2^-27 of the scene's extent, which is as fine as cells can be numbered.
+    """
+    while True:
+        grid = cut(grid)
+        occupied = cut(
+            attach(df, grid, scene, "inner").groupBy(*[_fine_index(a) for a in XYZ], scene)
+            .agg(F.count(F.lit(1)).alias("_n"), F.first(_top()).alias("_top"), *extra)
+        )
+        crowded = cut(
+            occupied.where(F.col("_n") > crowd).select(scene).distinct()
+            .join(grid.where(F.col("_base") > F.col("_floor")).select(scene), scene).withColumn("_more", F.lit(True))
+        )
+        if crowded.isEmpty():
+            discard(crowded)
+            return grid, occupied
+        discard(occupied)
+        finer = F.greatest(F.col("_base") / float(1 << _FINER), F.col("_floor"))
+        grid = grid.join(crowded, scene, "left").withColumn("_base", F.when(F.col("_more"), finer).otherwise(F.col("_base"))).drop("_more")
+
+
 # --------------------------------------------------------------------------- kNN
 
 def knn(
@@ -94,13 +125,13 @@ def knn(
 ) -> DataFrame:
     """Exact k nearest neighbours within each scene.
 
-    Returns ``scene_id, point_id, x, y, z, rank, nbr_id, d2, nx, ny, nz, home`` with ties
-    broken by ``nbr_id``; ``home`` is the same for all rows of a point, and grouping by it
+    Returns ``scene_id, point_id, x, y, z, rank, nbr_id, d2, nx, ny, nz, home, home_z`` with ties
+    broken by ``nbr_id``; the last two are the same for all rows of a point, and grouping by them
     as well spares a shuffle, because the rows are already spread by it.  With ``include_self`` the point itself competes like any
     other candidate; scenes with fewer than ``k`` points give all of them.
 
-    Each query gets the grid level that fits the local density, so a dense spot
-    does not produce all pairs of a wide cell.  A counting pass confirms that the
+    Each query gets the grid level that fits the local density, and a scene's finest cells shrink
+    until they hold few points, so a dense spot does not produce all pairs of a wide cell.  A counting pass confirms that the
     chosen level holds enough points within one cell width; the other queries
     use a level that is guaranteed to do so.  Locations with more copies than can
     ever be neighbours are searched once and the result is shared.
@@ -129,41 +160,37 @@ def knn(
             F.collect_list(F.struct("rank", "nbr_id", "d2", "nx", "ny", "nz")).alias("_list")
         )
         copied = attach(extra, lists, [scene, "_first"]).withColumn("_e", F.explode("_list"))
-        ranked = ranked.unionByName(copied.select(scene, key, *XYZ, "_e.*", F.lit(-1).cast("long").alias("home")))
+        ranked = ranked.unionByName(copied.select(scene, key, *XYZ, "_e.*", *[F.lit(-1).cast("long").alias(h) for h in ("home", "home_z")]))
     if include_self:
         return ranked
     others = ranked.where(F.col("nbr_id") != F.col(key))
-    again = Window.partitionBy(key, scene, "home").orderBy("d2", "nbr_id")
+    again = Window.partitionBy(key, scene, "home", "home_z").orderBy("d2", "nbr_id")
     return others.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
 
 
 def _knn_direct(pts, direct, want, base, scene, key):
     grid = _scene_grid(pts, base, scene, F.least(F.count(F.lit(1)), F.lit(want)).alias("_k"))
-    gridded = attach(direct, grid, scene).select(
-        scene, key, *XYZ, *[_fine_index(a) for a in XYZ], "_k", "_top", "_base"
-    )
-    occupied = gridded.groupBy(*_FINE, scene).agg(
-        F.count(F.lit(1)).alias("_n"), F.first("_k").alias("_k"), F.first("_top").alias("_top")
-    )
+    grid, occupied = _fitted_grid(direct, grid, 2 * want, scene, F.first("_k").alias("_k"))
+    gridded = attach(direct, grid, scene).select(scene, key, *XYZ, *[_fine_index(a) for a in XYZ], "_k", "_base")
     levels = _all_levels(occupied, F.col("_top"))
     filled = (
-        levels.groupBy("_cell", scene).agg(F.sum("_n").alias("_in"), F.first("_k").alias("_k"))
+        levels.groupBy(*_CELL, scene).agg(F.sum("_n").alias("_in"), F.first("_k").alias("_k"))
         .where(F.col("_in") * 3 >= F.col("_k"))
-        .select("_cell", scene, (F.col("_in") >= F.col("_k")).alias("_sure"))
+        .select(*_CELL, scene, (F.col("_in") >= F.col("_k")).alias("_sure"))
     )
     # Finest level with a third of the neighbours in the own cell (tried first) and
     # finest one with all of them (one level above it cannot miss a neighbour).
     choice = (
-        levels.drop("_n", "_k", "_top").join(filled, ["_cell", scene]).groupBy(*_FINE, scene)
+        levels.drop("_n", "_k", "_top").join(filled, [*_CELL, scene]).groupBy(*_FINE, scene)
         .agg(F.min("_l").alias("_try"), (F.min(F.when(F.col("_sure"), F.col("_l"))) + 1).alias("_safe"))
     )
-    located = gridded.drop("_top").join(choice, [*_FINE, scene])
+    located = gridded.join(choice, [*_FINE, scene])
 
     def near(rows: DataFrame) -> DataFrame:
         """Queries paired with the points within one cell width of their level."""
-        around = _around(rows.select("_cell", scene).distinct(), scene)
-        boxes = levels.select(scene, *_FINE, "_cell").join(around, ["_cell", scene]).select(
-            scene, *_FINE, F.col("_home").alias("_cell")
+        around = _around(rows.select(*_CELL, scene).distinct(), scene)
+        boxes = levels.select(scene, *_FINE, *_CELL).join(around, [*_CELL, scene]).select(
+            scene, *_FINE, F.col("_home").alias("_cell"), F.col("_home_z").alias("_cz")
         )
         points = gridded.select(
             scene, F.col(key).alias("nbr_id"), *[F.col(a).alias(f"n{a}") for a in XYZ], *_FINE
@@ -171,20 +198,20 @@ def _knn_direct(pts, direct, want, base, scene, key):
         d2 = squared_distance([f"n{a}" for a in XYZ], XYZ)
         width = F.pow(F.lit(2.0), F.col("_l")) * F.col("_base")
         asked = rows.withColumn("_reach", width * width).hint("shuffle_hash")
-        return points.join(asked, ["_cell", scene]).withColumn("d2", d2).where(F.col("d2") <= F.col("_reach"))
+        return points.join(asked, [*_CELL, scene]).withColumn("d2", d2).where(F.col("d2") <= F.col("_reach"))
 
-    tried = located.withColumn("_l", F.col("_try")).withColumn("_cell", _code("_l"))
-    found = near(tried.select(scene, key, *XYZ, "_l", "_base", "_cell")).groupBy(key, scene, "_cell").agg(
+    tried = located.withColumn("_l", F.col("_try")).withColumns(_code("_l"))
+    found = near(tried.select(scene, key, *XYZ, "_l", "_base", *_CELL)).groupBy(key, scene, *_CELL).agg(
         F.count(F.lit(1)).alias("_found")
     )
-    settled = tried.join(found, [key, scene, "_cell"]).withColumn(
+    settled = tried.join(found, [key, scene, *_CELL]).withColumn(
         "_l", F.when(F.col("_found") >= F.col("_k"), F.col("_try")).otherwise(F.col("_safe"))
-    ).withColumn("_cell", _code("_l"))
-    order = Window.partitionBy(key, scene, "_cell").orderBy("d2", "nbr_id")
-    pairs = near(settled.select(scene, key, *XYZ, "_l", "_base", "_cell"))
+    ).withColumns(_code("_l"))
+    order = Window.partitionBy(key, scene, *_CELL).orderBy("d2", "nbr_id")
+    pairs = near(settled.select(scene, key, *XYZ, "_l", "_base", *_CELL))
     return (
         pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= want)
-        .select(scene, key, *XYZ, "rank", "nbr_id", "d2", "nx", "ny", "nz", F.col("_cell").alias("home"))
+        .select(scene, key, *XYZ, "rank", "nbr_id", "d2", "nx", "ny", "nz", F.col("_cell").alias("home"), F.col("_cz").alias("home_z"))
     )
 
 
@@ -290,8 +317,9 @@ def nearest_transfer(
 ) -> DataFrame:
     """Add ``columns`` of the nearest ``right`` row, its id ``nn_id`` and distance ``nn_d2``.
 
-    Ties go to the smallest id.  The grid doubles for the rows still open; a row is
-    settled once its nearest candidate lies within one cell width.  Scenes that
+    Ties go to the smallest id.  The finest cells shrink until they hold few target locations; each row
+    looks around its cell two levels above the finest one that has a target next to it, so the work per
+    row does not grow with the density of the targets.  Scenes that
     occur only on the left stay without a match (NULL columns).
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
@@ -299,31 +327,34 @@ def nearest_transfer(
     both = left.select(scene, *XYZ).unionByName(right.select(scene, *XYZ))
     grid = _scene_grid(both, base_cell, scene).join(right.select(scene).distinct(), scene, "left_semi")
 
+    # Only the lowest id per location can win a tie.
+    best = cut(right.groupBy(scene, *XYZ).agg(F.min_by(F.struct(F.col(key).alias("nn_id"), *columns), key).alias("_hit")))
+    grid, occupied = _fitted_grid(best, grid, _TARGETS, scene)
+    grid = grid.withColumn("_top", _top())
+
     def on_grid(df):
         return attach(df, grid, scene, "inner").withColumns({f"_i_{a}": _fine_index(a) for a in XYZ})
 
-    # Only the lowest id per location can win a tie.
-    best = right.groupBy(scene, *XYZ).agg(F.min_by(F.struct(F.col(key).alias("nn_id"), *columns), key).alias("_hit"))
     targets = on_grid(best)
     asked = on_grid(left.select(scene, key, *XYZ))
-    levels = _all_levels(targets.select(scene, *_FINE, "_top").distinct(), F.col("_top") + 2)
+    levels = _all_levels(occupied.drop("_n"), F.col("_top") + 2)
     # At the finest level with a target in an adjacent cell, some target lies within
     # 2 * sqrt(3) cell widths; two levels up the adjacent cells cover that distance.
     probes = _all_levels(asked.select(scene, *_FINE, "_top").distinct(), F.col("_top"))
-    filled = _around(levels.select("_cell", scene).distinct(), scene).select("_cell", scene).distinct()
-    level = probes.join(filled, ["_cell", scene]).groupBy(*_FINE, scene).agg((F.min("_l") + 2).alias("_l"))
-    queries = asked.join(level, [*_FINE, scene]).withColumn("_cell", _code("_l")).select(scene, key, *XYZ, "_cell")
-    around = _around(queries.select("_cell", scene).distinct(), scene)
-    boxes = levels.select(scene, *_FINE, "_cell").join(around, ["_cell", scene]).select(
-        scene, *_FINE, F.col("_home").alias("_cell")
+    filled = _around(levels.select(*_CELL, scene).distinct(), scene).select(*_CELL, scene).distinct()
+    level = probes.join(filled, [*_CELL, scene]).groupBy(*_FINE, scene).agg((F.min("_l") + 2).alias("_l"))
+    queries = asked.join(level, [*_FINE, scene]).withColumns(_code("_l")).select(scene, key, *XYZ, *_CELL)
+    around = _around(queries.select(*_CELL, scene).distinct(), scene)
+    boxes = levels.select(scene, *_FINE, *_CELL).join(around, [*_CELL, scene]).select(
+        scene, *_FINE, F.col("_home").alias("_cell"), F.col("_home_z").alias("_cz")
     )
     near = targets.select(scene, *_FINE, *[F.col(a).alias(f"n{a}") for a in XYZ], "_hit").join(
         boxes, [*_FINE, scene]
     ).drop(*_FINE)
     found = (
-        near.join(queries.hint("shuffle_hash"), ["_cell", scene])
+        near.join(queries.hint("shuffle_hash"), [*_CELL, scene])
         .withColumn("nn_d2", squared_distance(XYZ, [f"n{a}" for a in XYZ]))
-        .groupBy(key, scene, "_cell")
+        .groupBy(key, scene, *_CELL)
         .agg(F.min(F.struct("nn_d2", F.col("_hit.nn_id").alias("nn_id"), "_hit")).alias("_m"))
         .select(scene, key, F.col("_m.nn_d2").alias("nn_d2"), "_m._hit.*")
     )

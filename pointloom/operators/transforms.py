@@ -205,23 +205,33 @@ def inside_anchor(df: DataFrame, anchors: DataFrame, margin: float = 0.30) -> Da
     return rows.where(inside).drop("x_min", "x_max", "z_min", "z_max")
 
 
-def _in_cone(camera) -> Column:
-    """Point inside the viewing cone of a camera that looks at the origin."""
-    px, py, pz = camera["pos"]
-    length = math.sqrt(px * px + py * py + pz * pz)
-    dx, dy, dz = F.col("x") - px, F.col("y") - py, F.col("z") - pz
-    distance = at_least(F.sqrt(dx * dx + dy * dy + dz * dz), 1e-9)
-    along = dx * F.lit(-px / length) + dy * F.lit(-py / length) + dz * F.lit(-pz / length)
-    return along / distance > F.lit(math.cos(math.radians(camera["fov_deg"] / 2.0)))
-
-
 def fov_filter(df: DataFrame, cameras=P.SCENE_CAMERAS, exempt=(0, 2)) -> DataFrame:
-    """Keep points in the cone of any camera; exempt classes always stay."""
-    seen = F.lit(False)
+    """Keep points in the viewing cone of any camera that looks at the origin; exempt classes always stay.
+
+    The cameras are one array of constants, so the code of the test does not grow with their
+    number, and each coordinate is computed once a row.
+    """
+    fields = []
     for camera in cameras:
-        seen = seen | _in_cone(camera)
+        px, py, pz = camera["pos"]
+        length = math.sqrt(px * px + py * py + pz * pz)
+        cone = {"px": px, "py": py, "pz": pz, "vx": -px / length, "vy": -py / length, "vz": -pz / length,
+                "cos": math.cos(math.radians(camera["fov_deg"] / 2.0))}
+        fields.append(F.struct(*[F.lit(float(v)).alias(k) for k, v in cone.items()]))
+
+    def sees(at: Column):
+        def test(c: Column) -> Column:
+            d = F.transform(F.array(F.struct(*[(at[a] - c[f"p{a}"]).alias(a) for a in XYZ])), lambda v: F.struct(
+                at_least(F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"]), 1e-9).alias("distance"),
+                (v["x"] * c["vx"] + v["y"] * c["vy"] + v["z"] * c["vz"]).alias("along"),
+            ))
+            return F.exists(d, lambda v: v["along"] / v["distance"] > c["cos"])
+        return test
+
+    place = F.array(F.struct(*[F.col(a).alias(a) for a in XYZ]))
+    seen = F.exists(place, lambda at: F.exists(F.array(*fields), sees(at))) if fields else F.lit(False)
     if exempt:
-        seen = seen | F.col("label").isin(*exempt)
+        seen = F.col("label").isin(*exempt) | seen
     return df.where(seen)
 
 

@@ -48,6 +48,27 @@ def test_knn_with_copies_dense_spot_and_outlier(spark, self_too):
     assert got == brute_knn(xyz, 6, self_too)
 
 
+def test_knn_and_nearest_in_a_dense_cube_with_a_stray(spark):
+    """Cells shrink to the cube's density although one return lies 100 km away."""
+    rng = np.random.default_rng(4)
+    xyz = np.vstack([rng.uniform(0, 0.04, (1500, 3)), [[100_000.0, 0.0, 0.0]]])
+    got = {}
+    for r in N.knn(cloud(spark, xyz), 5).orderBy("point_id", "rank").collect():
+        got.setdefault(r["point_id"], []).append(r["nbr_id"])
+    assert got == brute_knn(xyz, 5)
+    asked = rng.uniform(0, 0.04, (50, 3))
+    found = {r["point_id"]: r["nn_id"] for r in N.nearest_transfer(cloud(spark, asked), cloud(spark, xyz), []).collect()}
+    assert found == {i: int(((xyz - p) ** 2).sum(1).argmin()) for i, p in enumerate(asked)}
+
+
+def test_fov_filter_keeps_exempt_and_seen(spark):
+    camera = {"pos": (0.0, 0.0, 5.0), "fov_deg": 60.0}
+    df = cloud(spark, [[0, 0, 0], [50, 0, 0], [50, 0, 0], [0, 0, 5]], label=[1, 1, 2, 1])
+    kept = T.fov_filter(df, (camera,), exempt=(2,))
+    assert sorted(r["point_id"] for r in kept.collect()) == [0, 2]
+    assert T.fov_filter(df, (), exempt=()).count() == 0
+
+
 def test_knn_small_scene_gives_all(spark):
     assert N.knn(cloud(spark, [[0, 0, 0], [1, 0, 0], [0, 2, 0]]), 20).count() == 9
 
