@@ -136,6 +136,19 @@ def _crowd_links(crowded: DataFrame, max_bits: int) -> DataFrame:
     return members.select(F.explode(chain).alias("e")).select("e.a", "e.b")
 
 
+def fingerprint_groups(printed: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
+    """``fp, group, component_id`` of every distinct fingerprint of a written table ``doc_id, fp``.
+
+    ``group`` is a fingerprint that names the component, ``component_id`` the smallest id in it.
+    """
+    nodes = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    rooted = connected_components(cut(near_links(nodes, "fp", max_bits, crowd).distinct()))
+    lows = rooted.join(nodes.withColumnRenamed("fp", "node"), "node").select("node", "root", "low")
+    groups = lows.groupBy("root").agg(F.min("low").alias("group_low"))
+    linked = lows.join(groups, "root").select(F.col("node").alias("fp"), "root", "group_low")
+    return nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("group_low", "low").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint, component_id``.
 
@@ -148,26 +161,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     printed = cut(with_fingerprint(rows, "text", "fp", keep=["doc_id"]))
-    nodes = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    rooted = connected_components(cut(near_links(nodes, "fp", max_bits, crowd).distinct()))
-    lows = rooted.join(nodes.withColumnRenamed("fp", "node"), "node").select("node", "root", "low")
-    groups = lows.groupBy("root").agg(F.min("low").alias("group_low"))
-    linked = lows.join(groups, "root").select(F.col("node").alias("fp"), "group_low")
-    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("group_low", "low").alias("component_id"))
+    classes = fingerprint_groups(printed, max_bits, crowd).drop("group")
     return printed.join(classes, "fp").select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the near copies: of every group the row with the smallest id stays.
+    """``docs`` without the near copies: one row of every group stays, that with the smallest id.
 
-    Rows that share the smallest id of a group (repeated rows) leave one; a row with a
-    null id is kept as the representative of a group without ids.
+    A row is known by its id and the hash of its text, so rows that share an id but not the text
+    are judged apart.  Of equal ids in a group the smallest text hash stays, rows without an id come last, and of
+    repeated rows one stays; an empty table stays empty.  Other columns pass through, whatever their names.
     """
     names = docs.columns
-    found = near_duplicates(docs, doc_id, text)
-    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(doc_id))
-    kept = docs.join(drop.where(F.col(doc_id).isNotNull()).distinct(), doc_id, "left_anti")
-    repeated = docs.groupBy(doc_id).count().where("count > 1").select(doc_id)
-    if repeated.limit(1).count():
-        kept = kept.dropDuplicates([doc_id])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    printed = cut(with_fingerprint(rows, "text", "fp", keep=["doc_id", "hash"]))
+    placed = printed.join(fingerprint_groups(printed).drop("component_id"), "fp").select("group", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash").alias("row"))
+    best = placed.groupBy("group").agg(F.min("row").alias("best"))
+    drop = placed.join(best, "group").where("row <> best").select("row").distinct()
+    own = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    kept = docs.withColumn("_row", own).join(drop.withColumnRenamed("row", "_row"), "_row", "left_anti")
+    if printed.groupBy("doc_id", "hash").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_row"])
     return kept.select(*names)

@@ -93,6 +93,15 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert {1, 4, 5, 8, 10, 11} <= set(ids) and 2 not in ids and 6 not in ids and ids.count(8) == 1
 
 
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    a, b, c = prose(21, 300), prose(22, 300), prose(23, 300)
+    rows = [(1, a), (2, a), (None, a), (None, b), (None, b), (None, c), (7, prose(24, 300)), (7, prose(25, 300)), (8, ""), (9, None), (10, prose(26, 300)), (10, prose(26, 300))]
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string").withColumn("group", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "group"]
+    want = [(1, a), (None, b), (None, c), (7, prose(24, 300)), (7, prose(25, 300)), (8, ""), (10, prose(26, 300))]
+    assert rows_of(kept, "doc_id", "text") == sorted(want, key=repr)
+
+
 # ------------------------------------------------------------------ 2
 
 def test_merkle_tree_and_edits(spark):
