@@ -172,14 +172,24 @@ def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     are judged apart.  Of equal ids in a group the smallest text hash stays, rows without an id come last, and of
     repeated rows one stays; an empty table stays empty.  Other columns pass through, whatever their names.
     """
-    names = docs.columns
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
     printed = cut(with_fingerprint(rows, "text", "fp", keep=["doc_id", "hash"]))
-    placed = printed.join(fingerprint_groups(printed).drop("component_id"), "fp").select("group", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash").alias("row"))
+    placed = printed.join(fingerprint_groups(printed).drop("component_id"), "fp").select("group", row_key("doc_id", "hash").alias("row"))
+    return keep_best(docs, placed, doc_id, text)
+
+
+def row_key(doc_id: str, hash_) -> Column:
+    """Order and identity of a row: rows without an id last, then the id, then the hash of the text."""
+    return F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("doc_id"), (F.col(hash_) if isinstance(hash_, str) else hash_).alias("hash"))
+
+
+def keep_best(docs: DataFrame, placed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the first row of every group of ``placed`` (``group, row``, one row per row of ``docs``)."""
+    names = docs.columns
     best = placed.groupBy("group").agg(F.min("row").alias("best"))
     drop = placed.join(best, "group").where("row <> best").select("row").distinct()
-    own = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    own = row_key(doc_id, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     kept = docs.withColumn("_row", own).join(drop.withColumnRenamed("row", "_row"), "_row", "left_anti")
-    if printed.groupBy("doc_id", "hash").count().where("count > 1").limit(1).count():
+    if placed.groupBy("row").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["_row"])
     return kept.select(*names)
