@@ -15,7 +15,7 @@ from .quality import labelled_sample
 MAX_LABELLED = 6_000
 #: Bytes of whole texts it learns from at most.
 MAX_BYTES = 16 << 20
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 #: Hash buckets of whole words, and of character inputs: first 4, first 6 and last 4 bytes.
 BUCKETS = (1 << 17, 1 << 14, 1 << 16, 1 << 14)
 #: Buckets in fewer training texts than this stay without effect.
@@ -351,17 +351,38 @@ def learn(texts: list[bytes], labels: np.ndarray, epochs: int, rounds: int, seed
     return model
 
 
+def within_budget(sizes: list[int], most: int, budget: int = MAX_BYTES) -> list[int]:
+    """Places of at most ``most`` whole rows of ``budget`` bytes together, in the given order.
+
+    A row that does not fit is left out and the next are still tried; rows of more than 1/64 of the
+    budget are tried after all others, so that a few long ones do not take the room of many.
+    """
+    taken, left = [], budget
+    for i in sorted(range(len(sizes)), key=lambda i: sizes[i] > budget // 64):
+        if len(taken) < most and sizes[i] <= left:
+            taken.append(i)
+            left -= sizes[i]
+    return sorted(taken)
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELLED) -> Model:
-    """Fit on at most ``most`` labelled documents of ``MAX_BYTES`` together (the bound of what the driver holds)."""
-    sample = labelled_sample(labels, label, most=most)
+    """Fit on at most ``most`` labelled documents of ``MAX_BYTES`` together (the bound of what the driver holds).
+
+    Only the lengths of twice as many come to the driver before rows are chosen, so that others replace rows that are left out.
+    """
+    sample = labelled_sample(labels, label, most=2 * most)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    # The sample has at most ``most`` rows of two numbers.
-    rows = own.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
-    texts, given, size = [], [], 0
-    for r in rows.toLocalIterator():
-        size += len(r["text"] or b"")
-        if texts and size > MAX_BYTES:
-            break
+    # The sample has at most twice ``most`` rows of two numbers.
+    rows = own.join(F.broadcast(sample), "doc_id").withColumn("hash", F.xxhash64("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    order = [F.xxhash64("doc_id"), "doc_id", "hash"]
+    found = rows.select("doc_id", "hash", "size").orderBy(*order).limit(2 * most).collect()
+    chosen = [tuple(found[i])[:2] for i in within_budget([r["size"] for r in found], most)]
+    if not chosen:
+        return fit([], np.zeros(0))
+    kinds = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, hash long"
+    taken = rows.join(F.broadcast(docs.sparkSession.createDataFrame(list(dict.fromkeys(chosen)), kinds)), ["doc_id", "hash"])
+    texts, given = [], []
+    for r in taken.orderBy(*order).limit(len(chosen)).toLocalIterator():
         texts.append(bytes(r["text"] or b""))
         given.append(r["label"])
     return fit(texts, np.array(given, np.float64))
@@ -370,7 +391,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the text, with ``score`` and ``predicted``.
 
-    Every window of every whole text is scored, windows overlap by a quarter; null texts are empty, and a text
+    Every window of every whole text is scored, windows overlap by half; null texts are empty, and a text
     without words has the score of the network's bias.  Other columns pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
