@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.functions.lineage import cut
+
 CAPACITY = 2048
 END_ID = 0
-#: Documents whose remainders are packed together by one task.
+#: Pieces of less than full length that are packed together by one task.
 SHARD_DOCS = 20_000
+#: Sequences of one full piece are numbered from here, above those of any shard.
+WHOLE_IDS = 1 << 61
 #: Words whose ids a Python worker keeps at least, and half of what it keeps at most (about 250 bytes each).
 CACHED_WORDS = 500_000
 
@@ -204,15 +208,17 @@ def pack_documents(
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece.
 
-    Pieces are dealt by a hash of their content to shards of about ``shard_docs``
-    documents, and each shard is packed on its own: memory per task does not grow with the
-    input and a shard wastes at most its few open sequences.  Pieces of full length are sequences of their own.
+    Pieces of full length are sequences of their own and never meet in a task.  The others are dealt by a hash of their content to
+    shards of about ``shard_docs`` pieces, and each shard is packed on its own: memory per task does not grow with the
+    input and a shard wastes at most its few open sequences.
     Null texts pack their end id; repeated rows are packed as often as they occur;
     an empty table gives an empty result; further columns are ignored.
     """
-    shards = max(1, math.ceil(docs.count() / shard_docs))
-    pieces = token_pieces(docs, tokenizer_path, doc_id, text, capacity)
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    pieces = cut(token_pieces(docs, tokenizer_path, doc_id, text, capacity))
+    whole = pieces.where(F.col("length") == capacity)
+    rest = pieces.where(F.col("length") < capacity)
+    shards = max(1, math.ceil(rest.count() / shard_docs))
+    dealt = rest.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -223,6 +229,8 @@ def pack_documents(
         pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
         return pdf.drop(columns="_shard")
 
-    return dealt.groupBy("_shard").applyInPandas(
+    packed = dealt.groupBy("_shard").applyInPandas(
         run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
+    alone = (F.monotonically_increasing_id() + F.lit(WHOLE_IDS)).alias("sequence_id")
+    return packed.union(whole.select(*pieces.columns, alone, F.lit(0).cast("long").alias("offset")))
