@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import hosts, licenses, lm, merkle, mixing, packing, quality, simhash, toxicity, warc
+from . import centroids, hosts, licenses, lm, merkle, mixing, packing, periodic, quality, simhash, suffixes, toxicity, warc
 from .text import held_out
 
 QUERIES: dict[str, Callable] = {}
@@ -170,3 +170,22 @@ def op4(spark, sf_dir):
     """Own or inherited licence of every document."""
     files = document_paths(table(spark, sf_dir, "documents"))
     return licenses.scan_files(files).drop("text")
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    """Periodic runs of every document, with runs planted into a tenth of them."""
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
+@query("op12_suffix_array")
+def op12(spark, sf_dir):
+    """What is left of every document without the 100-byte strings that start earlier."""
+    cleaned = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op13_centroids", centroids.clustering_sql())
+def op13(spark, sf_dir):
+    """Cluster of every usable embedding after ten rounds."""
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
