@@ -24,7 +24,7 @@ def con():
 def same(a, b):
     cols = sorted(a.columns)
     assert cols == sorted(b.columns) and len(a) == len(b)
-    key = [cols[0] if "doc_id" not in cols and "page_id" not in cols else ("doc_id" if "doc_id" in cols else "page_id")]
+    key = [next(c for c in ("doc_id", "page_id", "vec_id") if c in cols)]
     a, b = (x[cols].sort_values(key, ignore_index=True) for x in (a, b))
     for c in cols:
         assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
