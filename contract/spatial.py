@@ -187,7 +187,7 @@ def moments_sql(k: int, src: str, name: str, ddof: int = 0) -> str:
 @query("fea2_local_pca", f"""WITH {PTS}, {knn_sql(20)}, {moments_sql(20, "nn", "s")}
 SELECT scene_id, point_id, n AS k, {rd("l1", 5)} AS l1, {rd("l2", 5)} AS l2, {rd("l3", 5)} AS l3, {rd("ny", 4)} AS normal_y FROM s""")
 def _(spark, sf):
-    out = FE.local_pca(N.knn(fx.points(spark, sf), 20))
+    out = FE.local_pca(fx.points(spark, sf), 20)
     return rounded(out, "l1", "l2", "l3", digits=5).withColumn("normal_y", r("normal_y", 4))
 
 

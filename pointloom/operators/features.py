@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    at_least, cell, covariance, covariance_sums, normal_y, safe_denominator, with_eigenvalues,
+    at_least, cell, covariance, normal_y, safe_denominator, with_eigenvalues,
 )
 from ..functions.groups import attach
 from ..functions.lineage import cut
 from .grids import height_above_local_floor
-from .neighbors import knn, radius_count
+from .neighbors import knn_moments, radius_count
 from .transforms import y_norm
 from .volumes import oriented_box
 
@@ -33,39 +33,28 @@ CLUSTER_FEATURES = [
 ]
 
 
-def _relative():
-    """Neighbour coordinates relative to the query point (no cancellation in the sums)."""
-    return [F.col(f"n{a}") - F.col(a) for a in XYZ]
-
-
-def local_pca(neighbors: DataFrame, ddof: int = 0) -> DataFrame:
-    """Eigenvalues of each neighbourhood's covariance and |n_y| of its normal."""
-    sums = neighbors.groupBy("scene_id", "point_id", "home", "home_z").agg(*covariance_sums(*_relative()))
-    m = with_eigenvalues(sums.withColumns(covariance(ddof=ddof)))
+def local_pca(df: DataFrame, k: int = 20, ddof: int = 0, base_cell: float = 0.05) -> DataFrame:
+    """Eigenvalues of the covariance of each point's ``k`` nearest points and |n_y| of their normal."""
+    m = with_eigenvalues(knn_moments(df, k, k, base_cell=base_cell).withColumns(covariance("s_", ddof)), "s_")
     return m.select(
-        "scene_id", "point_id", F.col("n").alias("k"), "l1", "l2", "l3",
-        normal_y(F.col("xx"), F.col("zz"), F.col("xz"), F.col("l1"), F.col("l2"), F.col("l3")).alias("normal_y"),
+        "scene_id", "point_id", F.col("s_n").alias("k"), *[F.col(f"s_{c}").alias(c) for c in ("l1", "l2", "l3")],
+        normal_y(*[F.col(f"s_{c}") for c in ("xx", "zz", "xz", "l1", "l2", "l3")]).alias("normal_y"),
     )
 
 
-def _two_scale_pca(near: DataFrame, k: int, ddof: int, *extra) -> DataFrame:
-    """PCA of the first ``k`` and of all neighbours in one pass over the pairs."""
-    small = F.col("rank") <= k
-    rel = _relative()
-    sums = near.groupBy("scene_id", "point_id", "home", "home_z").agg(
-        *covariance_sums(*rel, when=small, prefix="s_"), *covariance_sums(*rel, prefix="b_"), *extra
-    )
-    m = sums.withColumns({**covariance("s_", ddof), **covariance("b_", ddof)})
+def _two_scale_pca(near: DataFrame, ddof: int) -> DataFrame:
+    """PCA of both neighbourhoods of :func:`~pointloom.operators.neighbors.knn_moments`."""
+    m = near.withColumns({**covariance("s_", ddof), **covariance("b_", ddof)})
     for p in ("s_", "b_"):
         m = with_eigenvalues(m, p)
         m = m.withColumn(f"{p}ny", normal_y(*[F.col(p + c) for c in ("xx", "zz", "xz", "l1", "l2", "l3")]))
     return m
 
 
-def _normal_spread(near: DataFrame, pca: DataFrame, k: int) -> DataFrame:
-    """Population std of |n_y| over each point's first ``k`` neighbours (a second join)."""
+def _normal_spread(pca: DataFrame) -> DataFrame:
+    """Population std of |n_y| over each point's first neighbours (``ids``): the normals of all points are needed before."""
     normals = pca.select("scene_id", F.col("point_id").alias("nbr_id"), F.col("s_ny").alias("_ny"))
-    links = near.where(F.col("rank") <= k).select("scene_id", "point_id", "nbr_id")
+    links = pca.select("scene_id", "point_id", F.explode("ids").alias("nbr_id"))
     return links.join(normals, ["scene_id", "nbr_id"]).groupBy("scene_id", "point_id").agg(
         F.stddev_pop("_ny").alias("normal_y_std")
     )
@@ -76,30 +65,26 @@ def point_features(
 ) -> DataFrame:
     """The 19 per-point features (``POINT_FEATURES``) plus ids and the ``keep`` columns.
 
-    One k_large search serves both scales.  Neighbour links are checkpointed
-    because the normals of all points are needed before their spread.
+    One k_large search serves both scales and leaves one row a point: the sums of both covariances and the ids of the first
+    ``k`` neighbours, for the spread of their normals.
     """
     keep = [c for c in keep if c in df.columns]
-    near = cut(knn(df, k_large, base_cell=base_cell))
-    small = F.col("rank") <= k
-    dy = F.when(small, F.col("ny") - F.col("y"))
-    pca = cut(_two_scale_pca(
-        near, k, 0, F.first("y").alias("_y"), F.sum(dy).alias("_dy"), F.sum(dy * dy).alias("_dy2"),
-        F.max(F.when(small, F.col("ny"))).alias("_hi"), F.min(F.when(small, F.col("ny"))).alias("_lo"),
-    ))
-    spread = _normal_spread(near, pca, k)
+    pca = cut(_two_scale_pca(knn_moments(df, k, k_large, base_cell=base_cell), 0).select(
+        "scene_id", "point_id", "y", "ids", "s_n", "s_sy", "s_syy", "hi", "lo",
+        *[p + c for p in ("s_", "b_") for c in ("l1", "l2", "l3", "ny")]))
+    spread = _normal_spread(pca)
     counts = radius_count(df, radius).withColumnRenamed("n", "local_density")
     floors = height_above_local_floor(df.select("scene_id", "point_id", *XYZ, *keep))
     base = y_norm(floors)
     n = F.col("s_n").cast("double")
-    mean_dy = F.col("_dy") / n
+    mean_dy = F.col("s_sy") / n
     s1, s2 = safe_denominator(F.col("s_l1")), safe_denominator(F.col("s_l2"))
     b1 = safe_denominator(F.col("b_l1"))
     total = safe_denominator(F.col("s_l1") + F.col("s_l2") + F.col("s_l3"))
     local = pca.select(
-        "scene_id", "point_id", (F.col("_y") + mean_dy).alias("nbr_y_mean"),
-        F.sqrt(F.greatest(F.col("_dy2") / n - mean_dy * mean_dy, F.lit(0.0))).alias("nbr_y_std"),
-        (F.col("_hi") - F.col("_lo")).alias("height_range_local"), F.col("s_ny").alias("normal_y"),
+        "scene_id", "point_id", (F.col("y") + mean_dy).alias("nbr_y_mean"),
+        F.sqrt(F.greatest(F.col("s_syy") / n - mean_dy * mean_dy, F.lit(0.0))).alias("nbr_y_std"),
+        (F.col("hi") - F.col("lo")).alias("height_range_local"), F.col("s_ny").alias("normal_y"),
         (F.col("s_l3") / total).alias("curvature"), ((F.col("s_l2") - F.col("s_l3")) / s1).alias("planarity"),
         ((F.col("s_l1") - F.col("s_l2")) / s1).alias("linearity"), (F.col("s_l3") / s1).alias("sphericity"),
         F.col("s_ny").alias("verticality"), (F.col("s_l1") / s2).alias("lam_ratio_12"),
@@ -115,9 +100,10 @@ def point_features(
 def raw_point_features(df: DataFrame, k: int = 20, k_large: int = 50, eps: float = 1e-10, base_cell: float = 0.05) -> DataFrame:
     """Ten features of unlabelled clouds: the point itself is left out of its neighbourhood
     and the covariance is the sample covariance.  ``y`` is the height."""
-    near = cut(knn(df, k_large, include_self=False, base_cell=base_cell))
-    pca = cut(_two_scale_pca(near, k, 1, F.first("y").alias("height")))
-    spread = _normal_spread(near, pca, k)
+    near = knn_moments(df, k, k_large, include_self=False, base_cell=base_cell)
+    pca = cut(_two_scale_pca(near, 1).select(
+        "scene_id", "point_id", F.col("y").alias("height"), "ids", *[p + c for p in ("s_", "b_") for c in ("l1", "l2", "l3", "ny")]))
+    spread = _normal_spread(pca)
     s1, s2, s3, b1, b2, b3 = [F.col(c) for c in ("s_l1", "s_l2", "s_l3", "b_l1", "b_l2", "b_l3")]
     out = pca.join(spread, ["scene_id", "point_id"])
     return out.select(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import cell, squared_distance
 from ..functions.groups import attach
 from ..functions.lineage import cut, discard
+from . import tiles
 
 XYZ = ("x", "y", "z")
 
@@ -50,14 +51,19 @@ _TARGETS = 4
 _FINER = 3
 
 
-def _scene_grid(df: DataFrame, base: float, scene: str, *extra: Column) -> DataFrame:
-    """Per scene: corner, extent, cell width (coarser only beyond 2^27 cells) and narrowest width."""
-    extent = F.greatest(*[F.max(a) - F.min(a) for a in XYZ])
+def _scene_grid(df: DataFrame, base: float, scene: str, *extra: Column, per_cell: float = 0.0) -> DataFrame:
+    """Per scene: corner, extent, cell width (coarser only beyond 2^27 cells) and narrowest width.
+
+    With ``per_cell`` the width is at least that of cells which would hold so many rows if they filled the scene's box evenly.
+    """
+    spans = [F.max(a) - F.min(a) for a in XYZ]
+    volume = spans[0] * spans[1] * spans[2]
     grid = df.groupBy(scene).agg(
-        *[F.min(a).alias(f"_min_{a}") for a in XYZ], extent.alias("_extent"), *extra
+        *[F.min(a).alias(f"_min_{a}") for a in XYZ], F.greatest(*spans).alias("_extent"),
+        F.cbrt(volume * per_cell / F.count(F.lit(1))).alias("_even"), *extra
     )
     narrowest = F.col("_extent") / float(1 << (_AXIS_BITS - 1))
-    return grid.withColumn("_base", F.greatest(F.lit(base), narrowest)).withColumn("_floor", narrowest)
+    return grid.withColumn("_base", F.greatest(F.lit(base), narrowest, "_even")).withColumn("_floor", narrowest).drop("_even")
 
 
 def _top() -> Column:
@@ -119,24 +125,63 @@ def _fitted_grid(df: DataFrame, grid: DataFrame, crowd: int, scene: str, *extra:
 
 # --------------------------------------------------------------------------- kNN
 
+_TILE = ["_tile", "_tz"]
+
+
 def knn(
     df: DataFrame, k: int, include_self: bool = True, base_cell: float = 0.05,
     scene: str = "scene_id", key: str = "point_id",
 ) -> DataFrame:
-    """Exact k nearest neighbours within each scene.
-
-    Returns ``scene_id, point_id, x, y, z, rank, nbr_id, d2, nx, ny, nz, home, home_z`` with ties
-    broken by ``nbr_id``; the last two are the same for all rows of a point, and grouping by them
-    as well spares a shuffle, because the rows are already spread by it.  With ``include_self`` the point itself competes like any
-    other candidate; scenes with fewer than ``k`` points give all of them.
-
-    Each query gets the grid level that fits the local density, and a scene's finest cells shrink
-    until they hold few points, so a dense spot does not produce all pairs of a wide cell.  A counting pass confirms that the
-    chosen level holds enough points within one cell width; the other queries
-    use a level that is guaranteed to do so.  Locations with more copies than can
-    ever be neighbours are searched once and the result is shared.
+    """Exact k nearest neighbours within each scene, one row a neighbour.
+
+    Returns ``scene_id, point_id, x, y, z, rank, nbr_id, d2, nx, ny, nz`` with ties
+    broken by ``nbr_id``.  With ``include_self`` the point itself competes like any
+    other candidate; scenes with fewer than ``k`` points give all of them.  :func:`knn_lists` has the same as one row a point.
+    """
+    lists = knn_lists(df, k if include_self else k + 1, base_cell, scene, key)
+    rows = lists.select(scene, key, *XYZ, F.posexplode(F.arrays_zip("ids", "d2s", "nx", "ny", "nz")).alias("_r", "_n"))
+    rows = rows.select(scene, key, *XYZ, "_r", F.col("_n.ids").alias("nbr_id"), F.col("_n.d2s").alias("d2"), *[f"_n.n{a}" for a in XYZ])
+    if include_self:
+        return rows.select(scene, key, *XYZ, (F.col("_r") + 1).alias("rank"), "nbr_id", "d2", "nx", "ny", "nz")
+    # Entries behind the point itself move up by one; where copies keep it out of its list, the last entry is one too many.
+    place = F.coalesce(F.array_position("ids", F.col(key)), F.lit(0)).cast("int") - 1
+    own = lists.select(scene, key, *XYZ, place.alias("_own"), F.posexplode(F.arrays_zip("ids", "d2s", "nx", "ny", "nz")).alias("_r", "_n"))
+    before = (F.col("_own") < 0) | (F.col("_r") < F.col("_own"))
+    others = own.where(F.col("_r") != F.col("_own")).withColumn("rank", F.when(before, F.col("_r") + 1).otherwise(F.col("_r")))
+    return others.where(F.col("rank") <= k).select(
+        scene, key, *XYZ, "rank", F.col("_n.ids").alias("nbr_id"), F.col("_n.d2s").alias("d2"), *[f"_n.n{a}" for a in XYZ])
+
+
+def knn_lists(df: DataFrame, k: int, base_cell: float = 0.05, scene: str = "scene_id", key: str = "point_id") -> DataFrame:
+    """The k nearest points (the point itself included) as arrays: ``scene_id, point_id, x, y, z, ids, d2s, nx, ny, nz``.
+
+    ``ids`` are sorted by distance, then id.
+    """
+    return _searched(df, k, base_cell, scene, key, tiles.list_columns, tiles.LIST_SCHEMA)
+
+
+def knn_moments(
+    df: DataFrame, k: int, k_large: int, include_self: bool = True, base_cell: float = 0.05, scene: str = "scene_id", key: str = "point_id",
+) -> DataFrame:
+    """Sums from which the covariances of the first ``k`` and ``k_large`` neighbours follow, and the ids of the first ``k``.
+
+    The lists of ``k_large`` neighbours live only inside the tile that finds them: ``scene_id, point_id, x, y, z, ids``, the
+    columns of :func:`~pointloom.functions.columns.covariance_sums` with prefixes ``s_`` and ``b_`` relative to the point, and the
+    largest and smallest y of the first ``k`` as ``hi, lo``.
+    """
+    make = tiles.moment_columns(k, not include_self)
+    return _searched(df, k_large if include_self else k_large + 1, base_cell, scene, key, make, tiles.MOMENT_SCHEMA)
+
+
+def _searched(df, want, base, scene, key, columns, schema):
+    """``columns`` of the ``want`` nearest points of every point.
+
+    Each point asks at the grid level that fits the local density, and a scene's finest cells shrink
+    until they hold few points, so a dense spot does not meet all points of a wide cell.  A point whose neighbours
+    reach beyond what its tile's border covers asks once more, at a level that is guaranteed to be wide
+    enough; the others keep their first result.  Locations with more copies than can ever be neighbours are searched
+    once and the result is shared.
     """
-    want = k if include_self else k + 1
     # The points feed many branches of the plan, so they are computed once.
     pts = cut(df.select(scene, key, *XYZ))
     crowded = (
@@ -147,32 +192,20 @@ def knn(
     has_copies = not crowded.isEmpty()
     if has_copies:
         at = Window.partitionBy(scene, *XYZ).orderBy(key)
-        direct = pts.withColumn("_r", F.row_number().over(at)).where(F.col("_r") <= want).drop("_r")
-    ranked = _knn_direct(pts, direct, want, base_cell, scene, key)
+        direct = cut(pts.withColumn("_r", F.row_number().over(at)).where(F.col("_r") <= want).drop("_r"))
+    found = _in_tiles(pts, direct, want, base, scene, key, columns, schema)
     if has_copies:
-        extra = pts.join(crowded.drop("_n"), [scene, *XYZ]).join(
-            direct.select(scene, key), [scene, key], "left_anti"
-        )
-        shared = ranked.select(
-            scene, F.col(key).alias("_first"), "rank", "nbr_id", "d2", "nx", "ny", "nz"
-        ).join(crowded.select(scene, "_first"), [scene, "_first"], "left_semi")
-        lists = shared.groupBy(scene, "_first").agg(
-            F.collect_list(F.struct("rank", "nbr_id", "d2", "nx", "ny", "nz")).alias("_list")
-        )
-        copied = attach(extra, lists, [scene, "_first"]).withColumn("_e", F.explode("_list"))
-        ranked = ranked.unionByName(copied.select(scene, key, *XYZ, "_e.*", *[F.lit(-1).cast("long").alias(h) for h in ("home", "home_z")]))
-    if include_self:
-        return ranked
-    others = ranked.where(F.col("nbr_id") != F.col(key))
-    again = Window.partitionBy(key, scene, "home", "home_z").orderBy("d2", "nbr_id")
-    return others.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
+        extra = pts.join(crowded.drop("_n"), [scene, *XYZ]).join(direct.select(scene, key), [scene, key], "left_anti")
+        shared = found.drop(*XYZ).withColumnRenamed(key, "_first").join(crowded.select(scene, "_first"), [scene, "_first"], "left_semi")
+        found = found.unionByName(attach(extra, shared, [scene, "_first"]).drop("_first"))
+    return found
 
 
-def _knn_direct(pts, direct, want, base, scene, key):
-    grid = _scene_grid(pts, base, scene, F.least(F.count(F.lit(1)), F.lit(want)).alias("_k"))
-    grid, occupied = _fitted_grid(direct, grid, 2 * want, scene, F.first("_k").alias("_k"))
+def _in_tiles(pts, direct, want, base, scene, key, columns, schema):
+    grid = _scene_grid(pts, base, scene, F.least(F.count(F.lit(1)), F.lit(want)).alias("_k"), per_cell=want / 3)
+    grid, occupied = _fitted_grid(direct, grid, 2 * want, scene, F.first("_k").alias("_k"), F.first("_base").alias("_base"))
     gridded = attach(direct, grid, scene).select(scene, key, *XYZ, *[_fine_index(a) for a in XYZ], "_k", "_base")
-    levels = _all_levels(occupied, F.col("_top"))
+    levels = cut(_all_levels(occupied, F.col("_top")))
     filled = (
         levels.groupBy(*_CELL, scene).agg(F.sum("_n").alias("_in"), F.first("_k").alias("_k"))
         .where(F.col("_in") * 3 >= F.col("_k"))
@@ -180,39 +213,46 @@ def _knn_direct(pts, direct, want, base, scene, key):
     )
     # Finest level with a third of the neighbours in the own cell (tried first) and
     # finest one with all of them (one level above it cannot miss a neighbour).
-    choice = (
+    choice = cut(
         levels.drop("_n", "_k", "_top").join(filled, [*_CELL, scene]).groupBy(*_FINE, scene)
         .agg(F.min("_l").alias("_try"), (F.min(F.when(F.col("_sure"), F.col("_l"))) + 1).alias("_safe"))
     )
-    located = gridded.join(choice, [*_FINE, scene])
-
-    def near(rows: DataFrame) -> DataFrame:
-        """Queries paired with the points within one cell width of their level."""
-        around = _around(rows.select(*_CELL, scene).distinct(), scene)
-        boxes = levels.select(scene, *_FINE, *_CELL).join(around, [*_CELL, scene]).select(
-            scene, *_FINE, F.col("_home").alias("_cell"), F.col("_home_z").alias("_cz")
-        )
-        points = gridded.select(
-            scene, F.col(key).alias("nbr_id"), *[F.col(a).alias(f"n{a}") for a in XYZ], *_FINE
-        ).join(boxes, [*_FINE, scene]).drop(*_FINE)
-        d2 = squared_distance([f"n{a}" for a in XYZ], XYZ)
+    names = [f"{scene} {direct.schema[scene].dataType.simpleString()}", f"{key} {direct.schema[key].dataType.simpleString()}"]
+    schema = ", ".join([*names, "x double, y double, z double, settled boolean", schema])
+
+    def asked(rows: DataFrame, level: str) -> DataFrame:
+        """Results of the rows with ``_ask`` at the level their cell has in ``choice``."""
+        cells = rows.where("_ask").select(scene, *_FINE).distinct().join(choice, [*_FINE, scene]).withColumn("_l", F.col(level))
+        at = [f"((shiftright(_i_{a}, _l) + 1) >> {tiles.SIDE.bit_length() - 1})" for a in XYZ]
+        homes = cells.selectExpr(
+            f"`{scene}`", *_FINE, "_l", *[f"{t} AS _t_{a}" for t, a in zip(at, XYZ)],
+            f"shiftleft(CAST(_l AS BIGINT), {2 * _AXIS_BITS}) + shiftleft({at[0]}, {_AXIS_BITS}) + {at[1]} AS _tile", f"{at[2]} AS _tz")
+        homes = cut(homes)
+        spread = F.explode(F.sequence(F.lit(0), F.lit(tiles.WIDE ** 3 - 1)))
+        around = homes.select(scene, "_l", "_tile", "_tz", "_t_x", "_t_y").distinct().withColumn("_rel", spread)
+        cell_of = [f"({tiles.SIDE} * {t} + {place} - 1)" for t, place in (
+            ("_t_x", f"_rel div {tiles.WIDE ** 2}"), ("_t_y", f"_rel div {tiles.WIDE} % {tiles.WIDE}"), ("_tz", f"_rel % {tiles.WIDE}"))]
+        around = around.selectExpr(
+            f"`{scene}`", *_TILE, "_rel", "_l",
+            f"shiftleft(CAST(_l AS BIGINT), {2 * _AXIS_BITS}) + shiftleft({cell_of[0]}, {_AXIS_BITS}) + {cell_of[1]} AS _cell", f"{cell_of[2]} AS _cz")
+        boxes = levels.select(scene, *_FINE, *_CELL).join(around, [*_CELL, scene]).drop(*_CELL)
+        mine = homes.select(scene, *_FINE, F.col("_tile").alias("_ht"), F.col("_tz").alias("_hz"))
+        here = (F.col("_tile") == F.col("_ht")) & (F.col("_tz") == F.col("_hz"))
+        boxes = boxes.join(mine, [*_FINE, scene], "left").select(
+            scene, *_FINE, *_TILE, "_rel", "_l", F.coalesce(here, F.lit(False)).alias("_here"))
         width = F.pow(F.lit(2.0), F.col("_l")) * F.col("_base")
-        asked = rows.withColumn("_reach", width * width).hint("shuffle_hash")
-        return points.join(asked, [*_CELL, scene]).withColumn("d2", d2).where(F.col("d2") <= F.col("_reach"))
-
-    tried = located.withColumn("_l", F.col("_try")).withColumns(_code("_l"))
-    found = near(tried.select(scene, key, *XYZ, "_l", "_base", *_CELL)).groupBy(key, scene, *_CELL).agg(
-        F.count(F.lit(1)).alias("_found")
-    )
-    settled = tried.join(found, [key, scene, *_CELL]).withColumn(
-        "_l", F.when(F.col("_found") >= F.col("_k"), F.col("_try")).otherwise(F.col("_safe"))
-    ).withColumns(_code("_l"))
-    order = Window.partitionBy(key, scene, *_CELL).orderBy("d2", "nbr_id")
-    pairs = near(settled.select(scene, key, *XYZ, "_l", "_base", *_CELL))
-    return (
-        pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= want)
-        .select(scene, key, *XYZ, "rank", "nbr_id", "d2", "nx", "ny", "nz", F.col("_cell").alias("home"), F.col("_cz").alias("home_z"))
-    )
+        dealt = rows.join(boxes, [*_FINE, scene]).select(
+            scene, *_TILE, (F.col("_ask") & F.col("_here")).alias("_ask"), key, *XYZ, "_rel", "_k", (width * width).alias("_reach"))
+        dealt = dealt.repartition(scene, *_TILE).sortWithinPartitions(scene, *_TILE, F.desc("_ask"))
+        return dealt.mapInArrow(tiles.nearest_in_tiles(scene, key, [scene, *_TILE], columns), schema)
+
+    first = cut(asked(gridded.withColumn("_ask", F.lit(True)), "_try"))
+    left = first.where("NOT settled").select(scene, key, F.lit(True).alias("_ask"))
+    done = first.where("settled").drop("settled")
+    if left.isEmpty():
+        return done
+    again = attach(gridded, left, [scene, key]).withColumn("_ask", F.coalesce("_ask", F.lit(False)))
+    return done.unionByName(asked(again, "_safe").drop("settled"))
 
 
 # ------------------------------------------------------------------ fixed radius
