@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.lineage import cut, discard, with_small
+from pointloom.functions.lineage import cut, with_small
 
 from .periodic import minimizers
 
@@ -124,10 +124,11 @@ def _anchored(length: int):
             sign = np.flatnonzero(several & head)
             pick = np.concatenate([np.flatnonzero(known < 4), sign])
             known = np.concatenate([known[known < 4], np.full(len(sign), 3)])
+            # Settled repeats need neither hash any more, one of several contents not its own.
+            value, content = np.where(known == 2, 0, value[pick].view(np.int64)), np.where((known == 1) | (known == 2), 0, content[pick].view(np.int64))
             packed = at[pick] << 16 | most[pick] << 9 | least[pick] << 2 | known
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(who[pick])), batch.column("tie").take(pa.array(who[pick])), pa.array(value[pick].view(np.int64)),
-                 pa.array(content[pick].view(np.int64)), pa.array(packed)],
+                [batch.column("doc_id").take(pa.array(who[pick])), batch.column("tie").take(pa.array(who[pick])), pa.array(value), pa.array(content), pa.array(packed)],
                 names=["doc_id", "tie", "anchor", "content", "packed"],
             )
 
@@ -422,8 +423,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     per_row = _judged(found).groupBy(row.alias("row")).agg(
         F.collect_list(F.when(~unsure, F.struct(lo.alias("lo"), hi.alias("hi")))).alias("known"), F.collect_list(F.when(unsure, spot)).alias("spots"))
     verdicts = cut(per_row)
+    # Both joins need the texts by row: as one query with the same columns they share one shuffle.
     texts = rows.withColumn("row", row)
-    wanted = with_small(texts, verdicts.where("size(spots) > 0").select("row", "spots"), "row", "inner")
+    wanted = texts.join(verdicts.where("size(spots) > 0").select("row", "spots"), "row")
     records = wanted.select("doc_id", "tie", "text", "spots").mapInArrow(
         _suffix_records(length), f"{key}, anchor long, at long, most int, least int, before binary, after binary")
     sizes = verdicts.select(F.explode("spots.anchor").alias("anchor")).groupBy("anchor").count().where(F.col("count") > group)
@@ -432,9 +434,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     order = ["anchor", F.col("doc_id").asc_nulls_last(), "tie", "at", "most"]
     small = placed.where(~large).drop("_large").repartition("anchor").sortWithinPartitions(*order)
     ranges = small.mapInArrow(_sorted_groups(length), f"{key}, lo long, hi long").unionByName(_dealt_out(placed.where(large), length))
-    extra = cut(ranges.groupBy(row.alias("row")).agg(F.collect_list(F.struct("lo", "hi")).alias("extra")))
+    extra = ranges.groupBy(row.alias("row")).agg(F.collect_list(F.struct("lo", "hi")).alias("extra"))
     spans = verdicts.select("row", "known").where("size(known) > 0").join(extra, "row", "full")
-    merged = with_small(texts, spans, "row")
-    out = merged.select("doc_id", "text", "known", "extra").mapInArrow(
-        _cut_texts(length), f"doc_id {id_type}, n_bytes long, n_removed long, spans array<array<long>>, kept_sha256 string")
-    return out
+    merged = texts.join(spans, "row", "left").select("doc_id", "tie", "text", "known", "extra")
+    return merged.mapInArrow(_cut_texts(length), f"doc_id {id_type}, n_bytes long, n_removed long, spans array<array<long>>, kept_sha256 string")
