@@ -57,7 +57,7 @@ def test_pipeline_stages(spark):
         assert after.columns == docs.columns
         kept = {r["doc_id"] for r in after.select("doc_id").collect()}
         assert kept <= {r["doc_id"] for r in before.select("doc_id").collect()} and kept
-        if name == "simhash near-dedup":
+        if name == "near-dedup":
             assert simhash.near_duplicates(after).where("doc_id <> component_id").count() == 0
         before = after
     packed = corpus_pipeline.run(spark, SF)
