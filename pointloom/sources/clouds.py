@@ -1,7 +1,7 @@
 """Point-cloud files: distributed ingest and one file per scene on export.
 
-Files are read with the ``binaryFile`` source, one row per file; Python workers only
-decode and encode bytes, everything else is DataFrame work.
+Files are read by byte ranges of records (:mod:`pointloom.sources.ply`), or whole through Spark where only Spark reaches
+the store; Python workers only decode and encode bytes, everything else is DataFrame work.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.groups import attach
+from ..functions.lineage import with_small
 from ..operators.transforms import label_rgb
+from .ply import PlySource, reachable
 
 # Names of the PLY scalar types and their little-endian layouts.
 PLY_TYPES = {
@@ -26,7 +29,7 @@ POINT_SCHEMA = (
 CHUNK = 1 << 18
 
 
-def _header(data: bytes):
+def read_header(data: bytes):
     end = data.index(b"end_header") + len(b"end_header")
     body = data.index(b"\n", end - 1) + 1
     binary, count, fields, in_vertex = False, 0, [], False
@@ -42,7 +45,7 @@ def _header(data: bytes):
     return body, binary, count, fields
 
 
-def _ascii_rows(text: str, limit: int, width: int):
+def ascii_rows(text: str, limit: int, width: int):
     """Rows up to the first short or non-numeric line."""
     rows = []
     for line in text.splitlines():
@@ -59,7 +62,7 @@ def _ascii_rows(text: str, limit: int, width: int):
 
 
 def _decode(path: str, data: bytes, layout: str):
-    body, binary, count, fields = _header(data)
+    body, binary, count, fields = read_header(data)
     names = [n for n, _ in fields]
     if layout == "ascii":
         binary = False
@@ -74,7 +77,7 @@ def _decode(path: str, data: bytes, layout: str):
         table = np.frombuffer(data, dtype=dtype, count=readable, offset=body)
         get = lambda n: table[n] if n in names else None
     else:
-        values = _ascii_rows(data[body:].decode("ascii", "replace"), count, max(len(names), 3))
+        values = ascii_rows(data[body:].decode("ascii", "replace"), count, max(len(names), 3))
         readable = len(values)
         get = lambda n: values[:, names.index(n)] if n in names else None
     if layout == "labelled" and "label" not in names:
@@ -99,87 +102,64 @@ def read_points(spark: SparkSession, path: str, layout: str = "auto") -> DataFra
     says), ``xyzrgb`` (15-byte records; a cut-off body keeps its complete records),
     ``ascii`` (reads up to the first bad line).  ``n_header - n_readable`` counts lost records.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").option("recursiveFileLookup", "true").load(path)
+    if reachable(path):
+        spark.dataSource.register(PlySource)
+        out = spark.read.format("ply").option("layout", layout).load(path)
+    else:
+        out = _read_through_spark(spark, path, layout)
+    if layout == "labelled":
+        return out.select("scene_id", "point_id", "x", "y", "z", "label", "path")
+    return out.select(
+        "scene_id", "point_id", "x", "y", "z", "label", "red", "green", "blue", "path", "n_header", "n_readable"
     )
 
-    def decode(batches):
-        for batch in batches:
-            for p, content in zip(batch["path"], batch["content"]):
-                yield from _decode(p, content, layout)
 
-    points = files.select("path", "content").mapInPandas(decode, POINT_SCHEMA)
+def _read_through_spark(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    """The same for stores that only Spark reads: whole files of up to 2 GB, ranked before they are decoded."""
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").option("recursiveFileLookup", "true").load(path)
+    )
     # Ranks need the file list only: the content column is pruned from this branch.
     ranks = files.select("path").withColumn("_dir", F.lit(0)).withColumn(
         "scene_id", (F.row_number().over(Window.partitionBy("_dir").orderBy("path")) - 1).cast("long")
     ).drop("_dir")
-    out = points.join(ranks, "path")
-    if layout == "labelled":
-        return out.select("scene_id", "point_id", "x", "y", "z", "label", "path")
-    return out.select(
-        "scene_id", "point_id", "x", "y", "z", "label", "red", "green", "blue", "path", "n_header", "n_readable"
-    )
 
+    def decode(batches):
+        for batch in batches:
+            for scene, p, content in zip(batch["scene_id"], batch["path"], batch["content"]):
+                for frame in _decode(p, content, layout):
+                    frame.insert(0, "scene_id", scene)
+                    yield frame
 
-_RECORD = np.dtype([(a, "<f4") for a in "xyz"] + [(c, "<u1") for c in ("red", "green", "blue", "label")])
+    ranked = with_small(files.select("path", "content"), ranks, "path", "inner").select("scene_id", "path", "content")
+    return ranked.mapInPandas(decode, f"scene_id long, {POINT_SCHEMA}")
 
 
-def _ply_head(n: int) -> bytes:
+def ply_head(n: int) -> bytes:
     lines = ["ply", "format binary_little_endian 1.0", f"element vertex {n}"]
     lines += [f"property float {a}" for a in "xyz"]
     lines += [f"property uchar {c}" for c in ("red", "green", "blue", "label")]
     return ("\n".join(lines) + "\nend_header\n").encode("ascii")
 
 
-def write_points(df: DataFrame, path: str, format: str = "parquet", label: str = "label"):
+def write_points(df: DataFrame, path: str, format: str = "parquet", label: str = "label") -> None:
     """Write a labelled cloud.
 
     ``parquet`` (default) partitions by scene and is the scalable form.  ``ply`` writes one
-    file per scene with colours derived from the label to a folder all workers
-    reach, and returns ``scene_id, path, n``.  A PLY file is one stream with the point
+    file per scene with colours derived from the label.  A PLY file is one stream with the point
     count in front, so one task writes it; rows arrive sorted and leave in chunks, so
-    memory stays bounded even for a huge scene.
+    memory stays bounded even for a huge scene.  Files appear only when the whole job commits.
     """
     coloured = label_rgb(df, label)
     if format == "parquet":
         coloured.repartition("scene_id", F.pmod(F.xxhash64("point_id"), F.lit(16))).write.mode("overwrite").partitionBy(
             "scene_id").parquet(path)
-        return None
-    import os
-
-    os.makedirs(path, exist_ok=True)
-    counts = df.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n"))
-    from ..functions.groups import attach
-
+        return
+    counts = df.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
     rows = (
         attach(coloured, counts, "scene_id")
-        .select("scene_id", "point_id", "x", "y", "z", "red", "green", "blue", F.col(label).alias("label"), "_n")
+        .select("scene_id", "point_id", "x", "y", "z", "red", "green", "blue", F.col(label).alias("label"), "n")
         .repartition("scene_id").sortWithinPartitions("scene_id", "point_id")
     )
-
-    def encode(batches):
-        handle, current, temp = None, None, None
-
-        def close():
-            handle.close()
-            final = os.path.join(path, f"{current[0]:05d}.ply")
-            os.replace(temp, final)
-            return pd.DataFrame({"scene_id": [current[0]], "path": [final], "n": [current[1]]})
-
-        for batch in batches:
-            for scene, part in batch.groupby("scene_id", sort=False):
-                if current is None or current[0] != scene:
-                    if handle is not None:
-                        yield close()
-                    current = (int(scene), int(part["_n"].iloc[0]))
-                    temp = os.path.join(path, f".{current[0]:05d}.{os.getpid()}.part")
-                    handle = open(temp, "wb")
-                    handle.write(_ply_head(current[1]))
-                record = np.empty(len(part), dtype=_RECORD)
-                for name in _RECORD.names:
-                    record[name] = part[name].to_numpy()
-                handle.write(record.tobytes())
-        if handle is not None:
-            yield close()
-
-    return rows.mapInPandas(encode, "scene_id long, path string, n long")
+    df.sparkSession.dataSource.register(PlySource)
+    rows.write.format("ply").mode("append").save(path)

@@ -7,7 +7,7 @@ its source table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,24 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _mixed(key: str, a: int, b: int, p: int) -> str:
+    """``(key * key * a + key * b) % p`` without large intermediate values."""
+    m = f"({key} % {p})"
+    return f"({m} * {m} * {a} + {m} * {b}) % {p}"
+
+
 def points_mm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``scene_id, point_id, label, x_mm, y_mm, z_mm`` from ``lineitem``."""
-    # One shuffle on the point id serves the grouping and spreads small files over
-    # all cores (a single input split would otherwise keep the whole job in one task).
-    keyed = (
-        table(spark, sf_dir, "lineitem")
-        .select(
-            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("point_id"),
-            F.col("l_orderkey").cast("long").alias("ok"),
-        )
-        .repartition("point_id").groupBy("point_id").agg(F.min("ok").alias("ok"))
-    )
+    """``scene_id, point_id, label, x_mm, y_mm, z_mm``: a point for every row of ``lineitem``.
+
+    Rows of one line are numbered by part and supplier.
+    """
+    line = Window.partitionBy("ok", "ln").orderBy("l_partkey", "l_suppkey")
+    # The shuffle that numbers the rows also spreads small files over all cores.
+    keyed = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("long").alias("ok"), F.col("l_linenumber").cast("long").alias("ln"), "l_partkey", "l_suppkey",
+    ).select("ok", ((F.col("ok") * 8 + F.col("ln")) * 101 + F.row_number().over(line) - 1).alias("point_id"))
     mixed = keyed.selectExpr(
-        "point_id", "ok div 750 AS scene_id",
-        "(point_id * point_id * 31 + point_id * 7919) % 10007 AS u0",
-        "(point_id * point_id * 17 + point_id * 6101) % 10009 AS u1",
-        "(point_id * point_id * 13 + point_id * 4001) % 10037 AS u2",
-        "(point_id * point_id * 11 + point_id * 2003) % 10039 AS u3",
+        "point_id", "ok div 750 AS scene_id", f"{_mixed('point_id', 31, 7919, 10007)} AS u0", f"{_mixed('point_id', 17, 6101, 10009)} AS u1",
+        f"{_mixed('point_id', 13, 4001, 10037)} AS u2", f"{_mixed('point_id', 11, 2003, 10039)} AS u3",
     ).selectExpr(
         "*",
         "CASE WHEN u0 < 6000 THEN 0 WHEN u0 < 7500 THEN 1 WHEN u0 < 8400 THEN 2"
@@ -65,8 +66,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uniform(a: int, b: int, p: int, key: str = "point_id"):
     """Arithmetic uniform in [0, 1) that any engine can reproduce."""
-    k = F.col(key)
-    return ((k * k * a + k * b) % p).cast("double") / F.lit(float(p))
+    return F.expr(_mixed(key, a, b, p)).cast("double") / F.lit(float(p))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

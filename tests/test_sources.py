@@ -1,4 +1,5 @@
 import json
+import os
 import tempfile
 
 import numpy as np
@@ -19,12 +20,45 @@ def sample(spark):
 
 
 def test_ply_round_trip(spark, folder):
-    written = clouds.write_points(sample(spark), folder, format="ply").collect()
-    assert sorted((r["scene_id"], r["n"]) for r in written) == [(0, 100), (1, 100), (2, 100)]
+    clouds.write_points(sample(spark), folder, format="ply")
+    assert sorted(os.listdir(folder)) == ["00000.ply", "00001.ply", "00002.ply"]
     back = clouds.read_points(spark, folder, "labelled").select("scene_id", "point_id", "x", "y", "z", "label")
     assert back.exceptAll(sample(spark)).count() == 0 and back.count() == 300
 
 
+def test_ranges_of_records_and_the_path_through_spark_agree(spark, folder, monkeypatch):
+    from pointloom.sources import ply
+
+    clouds.write_points(sample(spark), folder, format="ply")
+    monkeypatch.setattr(ply, "RANGE", 7 * 16)  # seven records a partition
+    reader = ply.PlyReader({"path": folder, "layout": "header"})
+    parts = reader.partitions()
+    assert len(parts) == 45 and sum(p.count for p in parts) == 300
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted((r["scene_id"], r["point_id"], r["x"], r["label"]) for r in rows) == sorted(map(tuple, sample(spark).select("scene_id", "point_id", "x", "label").collect()))
+    own = clouds.read_points(spark, folder, "header").drop("path")
+    whole = clouds._read_through_spark(spark, folder, "header").select(*own.columns)
+    assert own.exceptAll(whole).count() == 0 and whole.count() == 300
+
+
+def test_failed_and_repeated_tasks_leave_no_file(spark, folder):
+    from pointloom.sources import ply
+
+    batch = [b for b in sample(spark).where("scene_id = 1").selectExpr("*", "0 AS red", "0 AS green", "0 AS blue", "100L AS n").toArrow().to_batches()]
+    writer = ply.PlyWriter({"path": f"{folder}/out"}, True)
+    writer.write(iter(batch))  # an attempt whose message is lost
+    writer.commit([writer.write(iter(batch)), None])
+    assert os.listdir(f"{folder}/out") == ["00001.ply"]
+    other = ply.PlyWriter({"path": f"{folder}/none"}, True)
+    other.write(iter(batch))
+    other.abort([])
+    assert os.listdir(f"{folder}/none") == []
+
+
+def test_no_files_give_no_rows(spark, folder):
+    assert clouds.read_points(spark, folder).count() == 0
+
+
 def test_truncated_and_ascii_files(spark, folder):
     rec = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1")])
     head = "ply\nformat binary_little_endian 1.0\nelement vertex 5\n" + "".join(f"property float {a}\n" for a in "xyz")
@@ -51,8 +85,6 @@ def test_metadata_file_with_mixed_objects(spark, folder):
 
 
 def test_reference_volumes_from_files(spark, folder):
-    import os
-
     os.makedirs(f"{folder}/Escenario_03")
     for i, v in ((1, "1.50"), (2, "0.25")):
         with open(f"{folder}/Escenario_03/Captura_01_C{i}_get_bounding_box.txt", "w") as f:
