@@ -46,7 +46,8 @@ def rd(expr: str, digits: int = 6) -> str:
 # ---------------------------------------------------------------- derived tables
 
 PM = """
-k_ AS (SELECT l_orderkey * 8 + l_linenumber AS point_id, MIN(l_orderkey) AS ok FROM lineitem GROUP BY 1),
+k_ AS (SELECT (l_orderkey * 8 + l_linenumber) * 101 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) - 1 AS point_id,
+    l_orderkey AS ok FROM lineitem),
 u_ AS (
   SELECT CAST(point_id AS BIGINT) AS point_id, CAST(ok // 750 AS BIGINT) AS scene_id,
     (CAST(point_id AS BIGINT) * point_id * 31 + point_id * 7919) % 10007 AS u0,

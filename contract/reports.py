@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pointloom import params as P
@@ -171,12 +173,79 @@ def _(spark, sf):
     return S.thin_by_distance(fx.points(spark, sf), ref=3.0, uniform=uni()).select("scene_id", "point_id")
 
 
-@query("deg3_axial_noise")
+def hashed(seed: int, salt: str, *keys: str) -> str:
+    """The uniform of ``hash_uniform`` in SQL."""
+    return f"((CAST(CAST('0x' || substr(md5(concat_ws('|', '{seed}', '{salt}', {', '.join(keys)})), 1, 13) AS BIGINT) AS DOUBLE) + 0.5e0) / 4503599627370496e0)"
+
+
+def normal_sql(u1: str, u2: str) -> str:
+    return f"(sqrt(-2e0 * ln(greatest({u1}, 1e-300))) * cos({2.0 * math.pi!r}e0 * {u2}))"
+
+
+def noise_sql(src: str, out: str) -> str:
+    """Points of ``src`` moved along the ray of the nearest camera."""
+    u = lambda salt: hashed(42, salt, "scene_id", "point_id")
+    pos = [c["pos"] for c in P.SCENE_CAMERAS]
+    ds = ", ".join("sqrt(" + " + ".join(f"({v} - {p!r}e0) * ({v} - {p!r}e0)" for v, p in zip("xyz", q)) + f") AS d{i}" for i, q in enumerate(pos))
+    pick = lambda f: f"CASE WHEN d0 <= d1 AND d0 <= d2 THEN {f(0)} WHEN d1 <= d2 THEN {f(1)} ELSE {f(2)} END"
+    rays = ", ".join(f"{pick(lambda i, k=k, v=v: f'({v} - {pos[i][k]!r}e0)')} AS r{v}" for k, v in enumerate("xyz"))
+    return f"""
+{out}_d AS (SELECT *, {ds} FROM {src}), {out}_r AS (SELECT *, {pick(lambda i: f"d{i}")} AS depth, {rays} FROM {out}_d),
+{out}_n AS (SELECT *, pow(depth / 3e0, 2e0) AS sc, {normal_sql(u("n1"), u("n2"))} AS nm, -2e0 * ln(greatest({u("c1")} * {u("c2")}, 1e-300)) AS chi FROM {out}_r),
+{out}_s AS (SELECT *, CASE WHEN {u("mix")} < 0.6e0 THEN nm * 0.01e0 * sc ELSE nm * sqrt(4e0 / greatest(chi, 1e-12)) / sqrt(2e0) * 0.025e0 * sc END AS noise FROM {out}_n),
+{out} AS MATERIALIZED (SELECT scene_id, point_id, label, {", ".join(f"{v} + noise * (r{v} / greatest(depth, 1e-9)) AS {v}" for v in "xyz")}, noise FROM {out}_s)"""
+
+
+def outlier_sql(src: str, out: str) -> str:
+    """``src`` with outliers beside random members of each scene."""
+    u = lambda salt: hashed(42, salt, "scene_id", "k")
+    moved = ", ".join(f"{v} + {normal_sql(u(v + '1'), u(v + '2'))} * 0.055e0 AS {v}" for v in "xyz")
+    return f"""
+{out}_i AS (SELECT scene_id, x, y, z, row_number() OVER (PARTITION BY scene_id ORDER BY point_id) - 1 AS place FROM {src}),
+{out}_z AS (SELECT scene_id, COUNT(*) AS n, max(point_id) AS mx, greatest(1, CAST(floor(COUNT(*) * 0.03e0) AS BIGINT)) AS want FROM {src} GROUP BY 1),
+{out}_k AS (SELECT scene_id, n, mx, unnest(range(0, want)) AS k FROM {out}_z),
+{out}_a AS (SELECT *, CAST(floor({u("anchor")} * n) AS BIGINT) AS place FROM {out}_k),
+{out} AS MATERIALIZED (SELECT scene_id, point_id, label, x, y, z FROM {src} UNION ALL SELECT scene_id, mx + 1 + k, 255, {moved} FROM {out}_a JOIN {out}_i USING (scene_id, place))"""
+
+
+def tail_sql(src: str) -> str:
+    """Robust spread and tails of ``v`` per scene."""
+    return f"""
+q AS (SELECT scene_id, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349e0 AS s FROM {src} GROUP BY 1),
+t AS (SELECT scene_id, any_value(s) AS sigma, avg(CASE WHEN abs(v) > 2.5e0 * s THEN 1 ELSE 0 END) AS tail FROM {src} JOIN q USING (scene_id) GROUP BY 1),
+m AS (SELECT scene_id, {", ".join(f"mad(v) FILTER (abs(v) <= {x}e0) AS m{i}" for i, x in enumerate((0.015, 0.03, 0.05)))} FROM {src} GROUP BY 1)
+SELECT scene_id, {rd("sigma")} AS sigma, {rd("tail")} AS tail_share, {rd("m0")} AS mad_15, {rd("m1")} AS mad_30, {rd("m2")} AS mad_50 FROM t JOIN m USING (scene_id)"""
+
+
+PLACE = f"scene_id, point_id, CAST(label AS INTEGER) AS label, {rd('x')} AS x, {rd('y')} AS y, {rd('z')} AS z"
+
+
+@query("deg3_axial_noise", f"WITH {PTS}, {noise_sql('pts', 'nz')}, v AS (SELECT scene_id, noise AS v FROM nz), {tail_sql('v')}")
 def _(spark, sf):
     out = S.axial_noise(fx.points(spark, sf))
     return rounded(E.tail_stats(out, "noise"), "sigma", "tail_share", "mad_15", "mad_30", "mad_50")
 
 
+@query("deg3_noise_positions", f"WITH {PTS}, {noise_sql('pts', 'nz')} SELECT {PLACE} FROM nz")
+def _(spark, sf):
+    return rounded(S.axial_noise(fx.points(spark, sf)).select("scene_id", "point_id", "label", "x", "y", "z"), "x", "y", "z")
+
+
+@query("deg5_outlier_positions", f"WITH {PTS}, {outlier_sql('pts', 'ou')} SELECT {PLACE} FROM ou")
+def _(spark, sf):
+    return rounded(S.inject_outliers(fx.points(spark, sf), 0.03).select("scene_id", "point_id", "label", "x", "y", "z"), "x", "y", "z")
+
+
+THIN = """th AS MATERIALIZED (SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY scene_id, floor(x / 0.019e0), floor(y / 0.019e0), floor(z / 0.019e0) ORDER BY point_id) = 1)"""
+DEGRADED = f"""{PTS}, {THIN}, {noise_sql("th", "nz")},
+dp AS MATERIALIZED (SELECT * FROM nz WHERE {hashed(42, "drop", "scene_id", "point_id")} > 0.15e0), {outlier_sql("dp", "ou")}"""
+
+
+@query("deg6_degrade_positions", f"WITH {DEGRADED} SELECT {PLACE} FROM ou")
+def _(spark, sf):
+    return rounded(S.degrade(fx.points(spark, sf)).select("scene_id", "point_id", "label", "x", "y", "z"), "x", "y", "z")
+
+
 @query("agg34_tail_stats", f"""WITH {PTS}, v AS (SELECT scene_id, (y - 0.1e0) / 4e0 AS v FROM pts WHERE label IN (0, 1, 2)),
 q AS (SELECT scene_id, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349e0 AS s FROM v GROUP BY 1),
 t AS (SELECT scene_id, any_value(s) AS sigma, avg(CASE WHEN abs(v) > 2.5e0 * s THEN 1 ELSE 0 END) AS tail FROM v JOIN q USING (scene_id) GROUP BY 1),
@@ -199,7 +268,7 @@ def _(spark, sf):
     return out.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 255).alias("n_outliers"))
 
 
-@query("deg6_degrade")
+@query("deg6_degrade", f"WITH {DEGRADED} SELECT scene_id, label, COUNT(*) AS n, {rd('avg(y)')} AS y FROM ou GROUP BY scene_id, label")
 def _(spark, sf):
     out = S.degrade(fx.points(spark, sf))
     return rounded(out.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y")), "y")
@@ -445,6 +514,20 @@ def _(spark, sf):
     return rounded(L.standardise(fx.points(spark, sf).select("scene_id", "point_id", "x", "y"), ["x", "y"]), "x", "y")
 
 
+ML1 = ["x", "y", "z", "y_norm"]
+
+
+@query("ml1_pipeline_scaler", f"""WITH {PTS}, lim AS (SELECT scene_id, min(y) AS lo, max(y) AS hi FROM pts WHERE label <> 255 GROUP BY 1),
+t AS MATERIALIZED (SELECT scene_id, point_id, x, y, z, (y - lo) / CASE WHEN hi - lo < 1e-6 THEN 1e0 ELSE hi - lo END AS y_norm FROM pts JOIN lim USING (scene_id) WHERE label <> 255),
+s AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in ML1)} FROM t)
+SELECT scene_id, point_id, {", ".join(f"{rd(f'({c} - m_{c}) / s_{c}')} AS {c}" for c in ML1)} FROM t, s""")
+def _(spark, sf):
+    """The scaling stage of the training pipelines."""
+    df = training(spark, sf)
+    out = L.PopulationScaler(ML1).fit(df).transform(df)
+    return out.select("scene_id", "point_id", *[r(f"{c}_scaled").alias(c) for c in ML1])
+
+
 @query("ml2_random_forest")
 def _(spark, sf):
     df = training(spark, sf)

@@ -58,15 +58,16 @@ def _(spark, sf):
     return _knn_summary(N.knn(fx.points(spark, sf), 20, include_self=False))
 
 
-EMB = """pts AS MATERIALIZED (SELECT CAST(0 AS BIGINT) AS scene_id, CAST(vec_id AS BIGINT) AS point_id, round(CAST(embedding[1] AS DOUBLE), 3) AS x,
-  round(CAST(embedding[2] AS DOUBLE), 3) AS y, round(CAST(embedding[3] AS DOUBLE), 3) AS z FROM embeddings)"""
+EMB = """pts AS MATERIALIZED (SELECT CAST(j AS BIGINT) AS scene_id, r AS point_id, coalesce(CAST(v[3 * j + 1] AS DOUBLE), 0e0) AS x, coalesce(CAST(v[3 * j + 2] AS DOUBLE), 0e0) AS y,
+  coalesce(CAST(v[3 * j + 3] AS DOUBLE), 0e0) AS z FROM (SELECT CAST(vec_id AS BIGINT) AS r, embedding AS v FROM embeddings), range(22) t(j))"""
 
 
 @query("jn1_knn_embeddings", f"WITH {EMB}, {knn_sql(10)} {KNN_OUT}")
 def _(spark, sf):
-    """One single scene, coordinates without any grid."""
-    e = fx.table(spark, sf, "embeddings").selectExpr(
-        "0L AS scene_id", "CAST(vec_id AS BIGINT) AS point_id", *[f"round(CAST(embedding[{i}] AS DOUBLE), 3) AS {a}" for i, a in enumerate("xyz")])
+    """Neighbours in every three-dimensional subspace of the whole vectors: a scene per subspace, coordinates without any grid."""
+    v = fx.table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("point_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(21))).alias("j"))
+    part = lambda k: F.coalesce(F.get("embedding", F.col("j") * 3 + k).cast("double"), F.lit(0.0))
+    e = v.select(F.col("j").cast("long").alias("scene_id"), "point_id", *[part(i).alias(a) for i, a in enumerate("xyz")])
     return _knn_summary(N.knn(e, 10))
 
 
@@ -135,16 +136,16 @@ def sample_sql(n: int, src: str = "pts", name: str = "smp") -> str:
     return f"""{name} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {U}, point_id) AS rn FROM {src}) WHERE rn <= {n})"""
 
 
-@query("agg14_nn_spacing", f"""WITH {PTS}, {sample_sql(500)}, {nearest_sql("smp", "smp", "'x': 0").replace("a.scene_id = b.scene_id", "a.scene_id = b.scene_id AND a.point_id <> b.point_id")}
+@query("agg14_nn_spacing", f"""WITH {PTS}, {sample_sql(5000)}, {nearest_sql("smp", "smp", "'x': 0").replace("a.scene_id = b.scene_id", "a.scene_id = b.scene_id AND a.point_id <> b.point_id")}
 SELECT scene_id, COUNT(*) AS n, {rd("avg(sqrt(m.d2))")} AS mean_nn, {rd("median(sqrt(m.d2))")} AS median_nn FROM nr GROUP BY scene_id""")
 def _(spark, sf):
-    return rounded(E.nn_spacing(fx.points(spark, sf), 500, uni()), "mean_nn", "median_nn")
+    return rounded(E.nn_spacing(fx.points(spark, sf), 5000, uni()), "mean_nn", "median_nn")
 
 
 def _side(i: int, where: str) -> str:
     cells = lambda w: f"""(SELECT median(sigma) FROM (SELECT stddev_pop(height) AS sigma, COUNT(*) AS n, scene_id, sum(COUNT(*)) OVER (PARTITION BY scene_id) AS t
       FROM hp{i} WHERE {w} GROUP BY scene_id, floor(x / 0.2e0), floor(z / 0.2e0)) WHERE n >= 4 AND t >= 50)"""
-    return f"""hp{i} AS MATERIALIZED (SELECT *, y AS height FROM pts WHERE {where}), {sample_sql(400, f"hp{i}", f"sm{i}")},
+    return f"""hp{i} AS MATERIALIZED (SELECT *, y AS height FROM pts WHERE {where}), {sample_sql(5000, f"hp{i}", f"sm{i}")},
 nr{i} AS (SELECT a.scene_id, a.point_id, min({D3}) AS d2 FROM sm{i} a JOIN sm{i} b ON a.scene_id = b.scene_id AND a.point_id <> b.point_id GROUP BY ALL),
 st{i} AS MATERIALIZED (SELECT (SELECT median(sqrt(d2)) FROM nr{i}) AS nn, {cells("abs(height) < 0.06e0")} AS rf, {cells("height >= 0.2e0 AND height < 1.6e0")} AS rc,
   (SELECT avg(n) FROM (SELECT COUNT(*) AS n FROM hp{i} GROUP BY scene_id)) AS mp)"""
@@ -163,7 +164,7 @@ SELECT {rd("b.nn / a.nn")} AS spacing_ratio, {rd("CASE WHEN b.nn / a.nn > 1 THEN
   {rd(_CG)} AS cargo_gap_mm, {_status(_CG)} AS cargo_status, {rd("b.mp / a.mp")} AS count_ratio FROM st1 a, st2 b""")
 def _(spark, sf):
     p = fx.points(spark, sf).withColumn("height", F.col("y"))
-    a, b = [E.dataset_stats(p.where(f"scene_id % 2 = {i}"), 400, uni(), floor_cell=0.2, min_cell=4) for i in (0, 1)]
+    a, b = [E.dataset_stats(p.where(f"scene_id % 2 = {i}"), 5000, uni(), floor_cell=0.2, min_cell=4) for i in (0, 1)]
     return rounded(E.calibration_report(a, b), "spacing_ratio", "suggested_voxel", "floor_gap_mm", "cargo_gap_mm", "count_ratio")
 
 
@@ -428,8 +429,35 @@ def _(spark, sf):
     return rounded(C.best_plane(p, given_planes(p)), "a", "b", "c", "d")
 
 
-@query("clu1_floor_plane")
+def floor_sql() -> str:
+    """Three rounds of the best given plane on what the rounds before left over, and the choice among them."""
+    near = "abs(a * x + b * y + c * z + d) <= 0.025e0"
+    parts = [f"WITH {PTS}, hyp0 AS MATERIALIZED (SELECT scene_id, h, a, b, c, d FROM (WITH {HYP.split(',\nhits')[0]} SELECT * FROM hyp)), w0 AS (SELECT scene_id, point_id, x, y, z FROM pts)"]
+    for i in range(3):
+        parts.append(f"""bp{i} AS MATERIALIZED (SELECT scene_id, h, inliers, a, b, c, d FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY inliers DESC, h) AS rn FROM (
+    SELECT p.scene_id, h, COUNT(*) FILTER ({near}) AS inliers FROM w{i} p JOIN hyp0 USING (scene_id) GROUP BY ALL)) JOIN hyp0 USING (scene_id, h) WHERE rn = 1),
+m{i} AS MATERIALIZED (SELECT w.*, coalesce({near}, false) AS inn FROM w{i} w LEFT JOIN bp{i} USING (scene_id)),
+cd{i} AS (SELECT scene_id, a, b, c, d, floor_y, inliers, {i + 1} AS attempt FROM bp{i} JOIN (SELECT scene_id, avg(y) AS floor_y FROM m{i} WHERE inn GROUP BY 1) USING (scene_id)
+  WHERE abs(b) >= 0.9e0 AND abs(floor_y) <= 0.1e0),
+w{i + 1} AS MATERIALIZED (SELECT scene_id, point_id, x, y, z FROM m{i} WHERE NOT inn)""")
+    return ",\n".join(parts) + f""",
+cd AS (SELECT * FROM cd0 UNION ALL SELECT * FROM cd1 UNION ALL SELECT * FROM cd2),
+jd AS (SELECT cd.*, (SELECT COUNT(*) FILTER (y < floor_y - 0.1e0) / COUNT(*) FROM pts p WHERE p.scene_id = cd.scene_id) AS below_frac FROM cd)
+SELECT scene_id, {rd("a")} AS a, {rd("b")} AS b, {rd("c")} AS c, {rd("d")} AS d, {rd("floor_y")} AS floor_y, inliers, {rd("below_frac")} AS below_frac, attempt FROM jd
+QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY below_frac <= 0.02e0 DESC, CASE WHEN below_frac <= 0.02e0 THEN CAST(inliers AS DOUBLE) ELSE -below_frac END DESC, attempt) = 1"""
+
+
+@query("clu1_floor_plane", floor_sql())
+def _(spark, sf):
+    """All rounds over given hypotheses."""
+    p = fx.points(spark, sf)
+    out = C.floor_plane(p, SPARSE, planes=given_planes(p))
+    return rounded(out, "a", "b", "c", "d", "floor_y", "below_frac")
+
+
+@query("clu1_drawn_floor_plane")
 def _(spark, sf):
+    """All rounds over drawn hypotheses."""
     out = C.floor_plane(fx.points(spark, sf), SPARSE)
     return rounded(out, "a", "b", "c", "d", "floor_y", "below_frac")
 
@@ -454,6 +482,82 @@ def _(spark, sf):
     return out.select("scene_id", "status", "n_anchor", "n_pallets", "n_clusters", "n_cargo", r("volume_m3").alias("volume_m3"), r("obb_volume", 4).alias("obb_volume"))
 
 
+def extraction_sql(eps: float, min_pts: int, virtual: bool, given: bool, fill: bool) -> str:
+    """The end-to-end extraction: voxels, floor, anchor, clusters, choice of cargo, refinement, height field."""
+    floor = "SELECT scene_id, min(y) - 0.05e0 AS floor_y FROM vx GROUP BY 1" if virtual else "SELECT DISTINCT scene_id, 0e0 AS floor_y FROM vx"
+    above = "SELECT * FROM vx" if virtual else "SELECT * FROM vx WHERE NOT (abs(y) <= 0.025e0 OR (y >= -0.05e0 AND y <= 0.05e0))"
+    if given:
+        chosen = """jd AS MATERIALIZED (SELECT *, NOT (((scene_id + cluster_id) % 3 + 1) IN (2, 3)
+    AND CAST((scene_id * 7 + cluster_id * 13) % 60 + 40 AS DOUBLE) / 100e0 >= 0.75e0) AS keep0 FROM sz),
+kp AS MATERIALIZED (SELECT *, CASE WHEN kept = 0 THEN rk = 1 ELSE keep0 END AS keep FROM (SELECT *, COUNT(*) FILTER (keep0) OVER (PARTITION BY scene_id) AS kept FROM jd)),
+sm AS (SELECT scene_id, CAST(any_value(kept) AS BIGINT) AS n_kept, COUNT(*) - any_value(kept) AS n_excluded, CASE WHEN any_value(kept) = 0 THEN 'fallback_rank0' ELSE 'classifier' END AS source,
+  'negative_filter' AS policy FROM kp GROUP BY 1)"""
+    else:
+        chosen = f"""sc_ AS (SELECT c.scene_id, cluster_id, COUNT(*) * (max(y) - any_value(floor_y)) / (0.3e0 + sqrt((avg(x) - any_value(center_x)) * (avg(x) - any_value(center_x))
+    + (avg(z) - any_value(center_z)) * (avg(z) - any_value(center_z)))) AS score FROM cg c JOIN anchor USING (scene_id) JOIN fl USING (scene_id)
+  WHERE cluster_id IS NOT NULL GROUP BY c.scene_id, cluster_id HAVING COUNT(*) >= {min_pts}),
+kp AS MATERIALIZED (SELECT scene_id, cluster_id, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC NULLS LAST, rk) = 1 AS keep FROM sz LEFT JOIN sc_ USING (scene_id, cluster_id)),
+sm AS (SELECT scene_id, CAST(1 AS BIGINT) AS n_kept, CAST(0 AS BIGINT) AS n_excluded, 'score' AS source, 'rank0' AS policy FROM kp GROUP BY 1)"""
+    filled = """sp2 AS (SELECT scene_id, i, min(j) AS j0, max(j) AS j1, max(h) AS f FROM cl0 WHERE h >= 0.2e0 GROUP BY ALL),
+fl2 AS (SELECT scene_id, i, f, unnest(range(j0, j1 + 1)) AS j FROM sp2),
+cl AS MATERIALIZED (SELECT coalesce(c.scene_id, f.scene_id) AS scene_id, coalesce(c.i, f.i) AS i, coalesce(c.j, f.j) AS j, greatest(coalesce(h, f), coalesce(f, h)) AS h
+  FROM cl0 c FULL JOIN fl2 f ON c.scene_id = f.scene_id AND c.i = f.i AND c.j = f.j)""" if fill else "cl AS MATERIALIZED (SELECT * FROM cl0)"
+    return f"""WITH RECURSIVE {PTS},
+vx AS MATERIALIZED (SELECT scene_id, min(point_id) AS point_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY scene_id, floor(x / 0.035e0), floor(y / 0.035e0), floor(z / 0.035e0)),
+fl AS MATERIALIZED ({floor}), ab AS MATERIALIZED ({above}),
+hi_ AS MATERIALIZED (SELECT ab.* FROM ab JOIN fl USING (scene_id) WHERE y > floor_y + 0.2e0), {dbscan_sql("an", "hi_", 0.15, 10, D2)},
+anc_ AS (SELECT scene_id, cluster_id FROM (SELECT scene_id, cluster_id, row_number() OVER (PARTITION BY scene_id ORDER BY COUNT(*) DESC, cluster_id) AS rn
+  FROM an WHERE cluster_id IS NOT NULL GROUP BY scene_id, cluster_id) WHERE rn = 1),
+anchor AS MATERIALIZED (SELECT scene_id, COUNT(*) AS n_points, min(x) AS x_min, max(x) AS x_max, min(z) AS z_min, max(z) AS z_max,
+  (min(x) + max(x)) / 2e0 AS center_x, (min(z) + max(z)) / 2e0 AS center_z FROM an JOIN anc_ USING (scene_id, cluster_id) GROUP BY scene_id),
+ins0 AS (SELECT p.* FROM ab p JOIN anchor USING (scene_id) WHERE x BETWEEN x_min - 0.3e0 AND x_max + 0.3e0 AND z BETWEEN z_min - 0.3e0 AND z_max + 0.3e0),
+ins AS MATERIALIZED (SELECT * FROM ins0 WHERE scene_id IN (SELECT scene_id FROM ins0 GROUP BY 1 HAVING COUNT(*) >= {min_pts})), {dbscan_sql("cg", "ins", eps, min_pts)},
+sz AS MATERIALIZED (SELECT scene_id, cluster_id, COUNT(*) AS n, COUNT(*) OVER (PARTITION BY scene_id) AS n_clusters, row_number() OVER (PARTITION BY scene_id ORDER BY COUNT(*) DESC, cluster_id) AS rk
+  FROM cg WHERE cluster_id IS NOT NULL GROUP BY scene_id, cluster_id), {chosen},
+hg AS MATERIALIZED (SELECT cg.scene_id, point_id, x, y, z FROM cg JOIN kp USING (scene_id, cluster_id) JOIN fl USING (scene_id) WHERE keep AND y > floor_y + 0.15e0),
+s AS MATERIALIZED (SELECT * FROM hg WHERE scene_id IN (SELECT scene_id FROM hg GROUP BY 1 HAVING COUNT(*) >= 30)), {_ladder_sql("s")},
+pk AS (SELECT scene_id, cluster_id FROM (SELECT scene_id, cluster_id, row_number() OVER (PARTITION BY scene_id ORDER BY COUNT(*) DESC, cluster_id) AS rn FROM fs GROUP BY scene_id, cluster_id) WHERE rn = 1),
+cgo AS MATERIALIZED (SELECT hg.* FROM hg JOIN fs USING (scene_id, point_id) JOIN pk ON pk.scene_id = fs.scene_id AND pk.cluster_id = fs.cluster_id
+  UNION ALL SELECT * FROM hg WHERE scene_id NOT IN (SELECT scene_id FROM fs)),
+hb AS (SELECT scene_id, min(x) AS lx, max(x) AS hx, min(z) AS lz, max(z) AS hz, COUNT(*) AS n_cargo FROM cgo GROUP BY 1),
+cl0 AS MATERIALIZED (SELECT scene_id, CAST(least(floor((x - lx) / 0.04e0), greatest(ceil((hx - lx) / 0.04e0), 1) - 1) AS BIGINT) AS i,
+    CAST(least(floor((z - lz) / 0.04e0), greatest(ceil((hz - lz) / 0.04e0), 1) - 1) AS BIGINT) AS j, max(y) - (any_value(floor_y) + 0.144e0) AS h
+  FROM cgo JOIN hb USING (scene_id) JOIN fl USING (scene_id) GROUP BY ALL), {filled},
+ok_ AS MATERIALIZED (SELECT * FROM cl WHERE h >= 0.05e0), {grid_sql("gc", "ok_")},
+pt_ AS (SELECT scene_id, component, bool_or(h >= 0.2e0) AS tall FROM gc GROUP BY ALL), any_ AS (SELECT scene_id, bool_or(tall) AS has_tall FROM pt_ GROUP BY 1),
+vo AS (SELECT scene_id, sum(h * (0.04e0 * 0.04e0)) AS v FROM gc JOIN pt_ USING (scene_id, component) JOIN any_ USING (scene_id) WHERE tall OR NOT has_tall GROUP BY 1),
+ia AS (SELECT scene_id, COUNT(*) AS n_in_anchor FROM cg GROUP BY 1), nc AS (SELECT scene_id, any_value(n_clusters) AS n_clusters FROM sz GROUP BY 1)
+SELECT d.scene_id, CASE WHEN a.n_points IS NULL THEN 'no_anchor' WHEN nc.n_clusters IS NULL THEN 'no_cluster' WHEN hb.n_cargo IS NULL THEN 'no_cargo' ELSE 'ok' END AS status,
+  a.n_points AS n_anchor, CASE WHEN nc.n_clusters IS NOT NULL THEN ia.n_in_anchor END AS n_in_anchor, nc.n_clusters AS n_clusters, sm.n_kept AS n_kept, sm.n_excluded AS n_excluded,
+  sm.source AS source, sm.policy AS policy, hb.n_cargo AS n_cargo, CASE WHEN hb.n_cargo IS NOT NULL THEN {rd("coalesce(vo.v, 0e0)")} END AS volume_m3
+FROM (SELECT DISTINCT scene_id FROM pts) d LEFT JOIN anchor a USING (scene_id) LEFT JOIN ia USING (scene_id) LEFT JOIN nc USING (scene_id) LEFT JOIN sm USING (scene_id)
+LEFT JOIN hb USING (scene_id) LEFT JOIN vo USING (scene_id)"""
+
+
+def _extraction_row(out):
+    return out.select("scene_id", "status", "n_anchor", "n_in_anchor", "n_clusters", "n_kept", "n_excluded", "source", "policy", "n_cargo", r("volume_m3").alias("volume_m3"))
+
+
+def _given_predictions(features):
+    """Class and probability of every cluster by arithmetic on its keys."""
+    return features.select("scene_id", "cluster_id", F.expr("CAST((scene_id + cluster_id) % 3 + 1 AS INT)").alias("y_pred"),
+                           F.expr("CAST((scene_id * 7 + cluster_id * 13) % 60 + 40 AS DOUBLE) / 100D").alias("max_prob"))
+
+
+@query("clu13_run_extraction_classifier", extraction_sql(0.2, 12, virtual=False, given=True, fill=False))
+def _(spark, sf):
+    """Known level floor, clusters chosen by given predictions."""
+    p = fx.points(spark, sf)
+    level = flat_floor(p).selectExpr("scene_id", "0D AS a", "1D AS b", "0D AS c", "0D AS d", "floor_y")
+    return _extraction_row(X.run_extraction(p, SPARSE, floor=level, classifier=_given_predictions))
+
+
+@query("clu13_run_extraction_preprocessed", extraction_sql(0.15, 10, virtual=True, given=False, fill=True))
+def _(spark, sf):
+    """Clouds with z up and without a floor plane."""
+    return _extraction_row(X.run_extraction(fx.points(spark, sf).selectExpr("scene_id", "point_id", "x", "z AS y", "y AS z"), SPARSE, preprocessed=True))
+
+
 @query("ml8_build_cluster_dataset")
 def _(spark, sf):
     rows, _ = X.build_cluster_dataset(fx.points(spark, sf), SPARSE, min_points=12)

@@ -327,3 +327,80 @@ def _(spark, sf):
 WHERE scene_id IN (SELECT DISTINCT scene_id FROM pm ORDER BY scene_id LIMIT 5) GROUP BY scene_id""")
 def _(spark, sf):
     return T.limit_scenes(fx.points_mm(spark, sf), 5).groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------- sources and sinks
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    from pointloom.functions.lineage import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(spark, sf, name: str, labels: str = "label <> 255") -> str:
+    from pointloom.sources import clouds
+
+    path = _folder(spark, name)
+    clouds.write_points(fx.points(spark, sf).where(labels), path, format="ply")
+    return path
+
+
+_RANKED = """rk AS (SELECT scene_id, dense_rank() OVER (ORDER BY lpad(CAST(scene_id AS VARCHAR), 5, '0')) - 1 AS file, row_number() OVER (PARTITION BY scene_id ORDER BY point_id) - 1 AS place,
+  label, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, COUNT(*) OVER (PARTITION BY scene_id) AS n FROM pts WHERE label <> 255)"""
+
+
+@query("src1_read_points", f"""WITH {PTS}, {_RANKED} SELECT file AS scene_id, place AS point_id, label, {rd("x")} AS x, {rd("y")} AS y, {rd("z")} AS z, n AS n_header, n AS n_readable FROM rk""")
+def _(spark, sf):
+    """Files of all scenes, read by ranges of records."""
+    from pointloom.sources import clouds
+
+    out = clouds.read_points(spark, _written(spark, sf, "src1"), "header")
+    return rounded(out.select("scene_id", "point_id", "label", "x", "y", "z", "n_header", "n_readable"), "x", "y", "z")
+
+
+@query("snk1_write_points", f"""WITH {PTS}, {_RANKED} SELECT file AS scene_id, label, COUNT(*) AS n, {rd("sum(CAST(x AS DOUBLE))", 4)} AS x FROM rk GROUP BY ALL""")
+def _(spark, sf):
+    """What an export leaves, per scene and class."""
+    from pointloom.sources import clouds
+
+    out = clouds.read_points(spark, _written(spark, sf, "snk1"), "labelled")
+    return out.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("n"), r(F.sum("x"), 4).alias("x"))
+
+
+@query("snk2_csv_round_trip", f"WITH {PTS} SELECT scene_id, label, COUNT(*) AS n, {rd('min(x)')} AS x_min FROM pts GROUP BY scene_id, label")
+def _(spark, sf):
+    from pointloom.sources import tables
+
+    path = _folder(spark, "snk2")
+    tables.write_table(fx.points(spark, sf).groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x_min")), path, "csv")
+    back = spark.read.option("header", "true").csv(path)
+    return back.select(F.col("scene_id").cast("long").alias("scene_id"), F.col("label").cast("int").alias("label"), F.col("n").cast("long").alias("n"),
+                       r(F.col("x_min").cast("double")).alias("x_min"))
+
+
+@query("snk3_json_round_trip", f"""WITH {PTS}, c AS (SELECT scene_id, label, COUNT(*) AS n FROM pts GROUP BY ALL)
+SELECT scene_id, max(n) FILTER (label = 0) AS n_floor, max(n) FILTER (label = 1) AS n_cargo, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY scene_id""")
+def _(spark, sf):
+    """A nested document per scene."""
+    from pointloom.sources import tables
+
+    path = _folder(spark, "snk3")
+    counts = fx.points(spark, sf).groupBy("scene_id").agg(
+        F.count(F.lit(1)).alias("n"), F.struct(F.count_if(F.col("label") == 0).alias("floor"), F.count_if(F.col("label") == 1).alias("cargo")).alias("classes"))
+    tables.write_table(counts, path, "json")
+    back = spark.read.schema(counts.schema).json(path)
+    zero = lambda c: F.when(F.col(c) > 0, F.col(c))
+    return back.select("scene_id", zero("classes.floor").alias("n_floor"), zero("classes.cargo").alias("n_cargo"), "n")
+
+
+@query("snk4_cached_features", f"WITH {PTS} SELECT scene_id, point_id, label, {rd('x * 2')} AS twice, {rd('y + z')} AS total FROM pts")
+def _(spark, sf):
+    """Features computed once and read from the store the second time."""
+    from pointloom.sources import stores
+
+    path = _folder(spark, "snk4")
+    compute = lambda: fx.points(spark, sf).selectExpr("scene_id", "point_id", "label", "x * 2 AS twice", "y + z AS total")
+    stores.cached_features(spark, path, ["twice", "total"], compute)
+    return rounded(stores.cached_features(spark, path, ["twice", "total"], lambda: None), "twice", "total")

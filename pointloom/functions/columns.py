@@ -36,12 +36,13 @@ def literal_map(mapping: dict, default) -> callable:
 
 
 def hash_uniform(seed: int, salt: str, *keys) -> Column:
-    """Uniform in [0, 1) that depends only on the seed, the salt and the row keys.
+    """Uniform in (0, 1) that depends only on the seed, the salt and the row keys: 52 bits of an MD5 over them.
 
-    Unlike ``rand(seed)`` it does not change with the partitioning.
+    Unlike ``rand(seed)`` it does not change with the partitioning, and any engine can repeat it.
     """
-    bits = F.xxhash64(F.lit(int(seed)), F.lit(salt), *[col(k) for k in keys])
-    return F.shiftrightunsigned(bits, 11).cast("double") / F.lit(float(1 << 53))
+    text = F.concat_ws("|", F.lit(str(int(seed))), F.lit(salt), *[col(k).cast("string") for k in keys])
+    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) / F.lit(float(1 << 52))
 
 
 def standard_normal(u1: Column, u2: Column) -> Column:

@@ -34,14 +34,18 @@ def with_stats(df: DataFrame, by, *aggregates: Column) -> DataFrame:
     return attach(df, df.groupBy(*keys).agg(*aggregates), keys)
 
 
+#: Distinct values of a bucket that one task sorts.
+BUCKET = 1 << 16
+
+
 def exact_percentiles(
-    df: DataFrame, by, value, wanted: dict[str, float], buckets: int = 32
+    df: DataFrame, by, value, wanted: dict[str, float], buckets: int = 32, bound: int = BUCKET
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group.
 
-    A quantile sketch proposes bucket bounds, exact counts per bucket locate the
-    bucket of each rank, and only those buckets are sorted.  The sketch only
-    balances the work; the result does not depend on its accuracy.  Repeated
+    A quantile sketch proposes bucket bounds and exact counts per bucket locate the bucket of each rank; buckets that are
+    needed and hold more than ``bound`` distinct values are cut again in the same way, so no task sorts more than that, whatever
+    the group.  The sketch only balances the work; the result does not depend on its accuracy.  Repeated
     values are collapsed to counts first.
     """
     keys = [by] if isinstance(by, str) else list(by)
@@ -49,37 +53,42 @@ def exact_percentiles(
     if not keys:
         keys = ["_all"]
         data = data.withColumn("_all", F.lit(0))
-    # Value counts feed three branches; computing them once spares the input.
     counts = cut(data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    grid = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy(*keys).agg(
-        F.percentile_approx("_v", grid, 1000).alias("_bounds"), F.sum("_c").alias("_n")
-    )
-    placed = (
-        attach(counts, bounds, keys)
-        .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))))
-        .drop("_bounds")
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        placed.groupBy(*keys, "_bucket")
-        .agg(F.sum("_c").alias("_size"), F.first("_n").alias("_total"))
-        .withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-    )
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_total"))
     lows = {name: F.floor(F.lit(float(p)) * (F.col("_total") - 1)) for name, p in wanted.items()}
     highs = {name: F.ceil(F.lit(float(p)) * (F.col("_total") - 1)) for name, p in wanted.items()}
 
-    def holds(rank: Column) -> Column:
-        return (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_size"))
-
-    needed = F.lit(False)
-    for rank in [*lows.values(), *highs.values()]:
-        needed = needed | holds(rank)
-    targets = sizes.where(needed).select(*keys, "_bucket", "_before", "_total")
-    running = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(targets, [*keys, "_bucket"]).withColumn(
-        "_end", F.col("_before") + F.sum("_c").over(running)
-    ).withColumn("_start", F.col("_end") - F.col("_c"))
+    def needed() -> Column:
+        found = F.lit(False)
+        for rank in [*lows.values(), *highs.values()]:
+            found = found | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_size")))
+        return found
+
+    # ``_path`` names a bucket, ``_off`` counts the values before it.
+    part = attach(counts, totals, keys).withColumns({"_path": F.lit(0).cast("long"), "_off": F.lit(0).cast("long")})
+    at = [*keys, "_path"]
+    settled = None
+    grid = [i / buckets for i in range(1, buckets)]
+    while True:
+        part = cut(part)
+        size = part.groupBy(*at).agg(F.count(F.lit(1)).alias("_distinct"))
+        large = cut(size.where(F.col("_distinct") > bound))
+        if large.isEmpty():
+            settled = part if settled is None else settled.unionByName(part)
+            break
+        rest = attach(part, large, at).where(F.col("_distinct").isNull()).drop("_distinct")
+        settled = rest if settled is None else settled.unionByName(rest)
+        crowded = attach(part, large.drop("_distinct"), at, "left_semi")
+        bounds = crowded.groupBy(*at).agg(F.percentile_approx("_v", grid, 1000).alias("_bounds"))
+        placed = cut(attach(crowded, bounds, at).withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds"))
+        earlier = Window.partitionBy(*at).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = placed.groupBy(*at, "_bucket").agg(F.sum("_c").alias("_size"), F.first("_off").alias("_first"), F.first("_total").alias("_total"))
+        sizes = sizes.withColumn("_before", F.col("_first") + F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+        targets = sizes.where(needed()).select(*at, "_bucket", "_before")
+        part = attach(placed, targets, [*at, "_bucket"], "inner").withColumns(
+            {"_path": F.col("_path") * buckets + F.col("_bucket") + 1, "_off": F.col("_before")}).drop("_bucket", "_before")
+    running = Window.partitionBy(*at).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = settled.withColumn("_end", F.col("_off") + F.sum("_c").over(running)).withColumn("_start", F.col("_end") - F.col("_c"))
 
     def pick(rank: Column) -> Column:
         return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v")))

@@ -287,25 +287,71 @@ def _plane_distance():
     return F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + F.col("d"))
 
 
-def best_plane(df: DataFrame, planes: DataFrame, tolerance: float = 0.025) -> DataFrame:
-    """The hypothesis with most inliers per scene: ``h, a, b, c, d, inliers``.
-
-    The hypotheses of a scene travel as one array; inliers are counted map-side, so
-    the shuffle carries one number per task, scene and hypothesis, however many
-    points the scene has.
+#: Rows of a scene that are held against its planes at once, and cell width of the boxes that bound their counts.
+_PACK, _BOX = 4096, 0.05
+
+
+def _packed(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt into packs of about ``_PACK``: ``scene_id`` and one array per column."""
+    sizes = df.groupBy("scene_id").agg(F.ceil(F.count(F.lit(1)) / _PACK).alias("_packs"))
+    dealt = attach(df, sizes, "scene_id").withColumn("_pack", F.pmod(F.xxhash64(*columns), F.col("_packs")))
+    return dealt.groupBy("scene_id", "_pack").agg(F.collect_list(F.struct(*columns)).alias("_rows")).select(
+        "scene_id", *[F.col(f"_rows.{c}").alias(c) for c in columns])
+
+
+def _count_near(tolerance: float):
+    """Weight of the boxes that may hold inliers, per pack and plane: those whose centre is no farther than the tolerance and their radius."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                scene = batch.column("scene_id").slice(i, 1)
+                x, y, z, weight, radius = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("x", "y", "z", "w", "r"))
+                planes = batch.column("planes")[i].values
+                h, a, b, c, d = (planes.field(f).to_numpy(zero_copy_only=False) for f in ("h", "a", "b", "c", "d"))
+                totals = np.empty(len(h), np.int64)
+                for at in range(0, len(h), 64):
+                    k = slice(at, at + 64)
+                    off = np.abs(a[k, None] * x + b[k, None] * y + c[k, None] * z + d[k, None])
+                    totals[k] = np.where(off - radius <= tolerance, weight, 0).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([scene] * len(h)), pa.array(h), pa.array(totals)], names=["scene_id", "h", "inliers"])
+
+    return run
+
+
+def _inliers(packs: DataFrame, planes: DataFrame, tolerance: float) -> DataFrame:
+    """``scene_id, h, inliers`` of every plane; the planes of a scene travel as one array per pack."""
+    per_scene = planes.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("h", "a", "b", "c", "d"))).alias("planes"))
+    types = {f.name: f.dataType.simpleString() for f in planes.schema.fields}
+    schema = f"scene_id {types['scene_id']}, h {types['h']}, inliers long"
+    counted = attach(packs, per_scene, "scene_id", "inner").mapInArrow(_count_near(tolerance), schema)
+    return counted.groupBy("scene_id", "h").agg(F.sum("inliers").alias("inliers"))
+
+
+def best_plane(df: DataFrame, planes: DataFrame, tolerance: float = 0.025, box: float = _BOX) -> DataFrame:
+    """The hypothesis with most inliers per scene (ties: the smallest ``h``): ``h, a, b, c, d, inliers``.
+
+    Branch and bound: points are counted in small boxes, and for every plane the boxes that it may touch bound its inliers from
+    above.  The plane with the highest bound is counted exactly; of the others only those whose bound reaches that count are
+    counted on the points.  No plane that could win is left out, and only the few that could meet all points.
     """
-    packed = planes.groupBy("scene_id").agg(
-        F.sort_array(F.collect_list(F.struct("h", "a", "b", "c", "d"))).alias("_planes")
-    )
-    rows = attach(df.select("scene_id", *XYZ), packed, "scene_id", "inner").withColumn("_p", F.explode("_planes"))
-    inlier = F.abs(
-        F.col("_p.a") * F.col("x") + F.col("_p.b") * F.col("y") + F.col("_p.c") * F.col("z") + F.col("_p.d")
-    ) <= tolerance
-    counts = rows.groupBy("scene_id", F.col("_p.h").alias("h")).agg(F.count_if(inlier).alias("inliers"))
+    rows = df.select("scene_id", *XYZ)
+    planes = cut(planes.select("scene_id", "h", "a", "b", "c", "d"))
+    points = cut(_packed(rows.withColumns({"w": F.lit(1).cast("long"), "r": F.lit(0.0)}), "x", "y", "z", "w", "r"))
+    centre = [((F.floor(F.col(a) / box) + 0.5) * box).alias(a) for a in XYZ]
+    boxes = rows.groupBy("scene_id", *centre).agg(F.count(F.lit(1)).alias("w")).withColumn("r", F.lit(box * 3 ** 0.5 / 2 * (1 + 1e-9) + 1e-9))
+    bounds = cut(_inliers(_packed(boxes, "x", "y", "z", "w", "r"), planes, tolerance).withColumnRenamed("inliers", "_most"))
+    keys = ["scene_id", "h"]
+    first = bounds.groupBy("scene_id").agg(F.max_by("h", F.struct("_most", (-F.col("h")).alias("k"))).alias("h"))
+    lead = _inliers(points, planes.join(first, keys, "left_semi"), tolerance).select("scene_id", F.col("inliers").alias("_least"))
+    open_ = cut(attach(bounds, lead, "scene_id", "inner").where(F.col("_most") >= F.col("_least")).select(*keys))
+    counts = _inliers(points, planes.join(open_, keys, "left_semi"), tolerance)
     top = counts.groupBy("scene_id").agg(
         F.max_by(F.struct("h", "inliers"), F.struct("inliers", (-F.col("h")).alias("k"))).alias("m")
     ).select("scene_id", "m.*")
-    return top.join(planes, ["scene_id", "h"])
+    return top.join(planes, keys)
 
 
 def floor_plane(
@@ -467,6 +513,41 @@ def negative_filter(preds: DataFrame, confidence: float | None = 0.75, excluded=
     )
 
 
+def choose_cargo(
+    clustered: DataFrame, floor: DataFrame, anchors: DataFrame, params: P.ExtractionParams = P.ExtractionParams(), preds: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Cargo points and one summary row per scene with clusters: by predictions where there are some, else by score.
+
+    With ``preds`` (``scene_id, cluster_id, y_pred, max_prob``) the clusters that :func:`negative_filter` keeps are cargo together, and a scene
+    that would lose all falls back to its largest one; a cluster without a prediction is kept.  Without them the
+    best score decides (the largest cluster where none has ``cargo_min_pts`` points).  The summary has ``n_in_anchor, n_clusters,
+    cluster_id`` (-1 for several), ``n_kept, n_excluded, source, policy``.
+    """
+    sizes = cut(cluster_sizes(clustered))
+    counts = clustered.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_in_anchor"))
+    clusters = sizes.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_clusters"))
+    base = counts.join(clusters, "scene_id")
+    if preds is None:
+        scored = score_clusters(clustered, floor, anchors, params.cargo_min_pts).select("scene_id", F.col("cluster_id").alias("_best"))
+        chosen = cut(largest_cluster(sizes).join(scored, "scene_id", "left").select("scene_id", F.coalesce("_best", "cluster_id").alias("cluster_id")))
+        summary = base.join(chosen, "scene_id").select(
+            "scene_id", "n_in_anchor", "n_clusters", "cluster_id", F.lit(1).cast("long").alias("n_kept"), F.lit(0).cast("long").alias("n_excluded"),
+            F.lit("score").alias("source"), F.lit("rank0").alias("policy"))
+        return keep_cluster(clustered, chosen), summary
+    known = sizes.join(preds.select("scene_id", "cluster_id", "y_pred", "max_prob"), ["scene_id", "cluster_id"], "left")
+    judged = cut(negative_filter(known, params.negative_confidence))
+    kept = judged.where("keep").select("scene_id", "cluster_id", F.lit(True).alias("_keep"))
+    per_scene = judged.groupBy("scene_id").agg(
+        F.count_if("keep").alias("_kept"), F.max(F.when(F.col("keep"), F.col("cluster_id"))).alias("_one"), F.max("source").alias("source"))
+    fallback = F.col("source") == "fallback_rank0"
+    summary = base.join(per_scene, "scene_id").select(
+        "scene_id", "n_in_anchor", "n_clusters", F.when(fallback, F.col("_one")).otherwise(F.lit(-1)).cast("long").alias("cluster_id"),
+        F.when(fallback, F.lit(0)).otherwise(F.col("_kept")).cast("long").alias("n_kept"),
+        F.when(fallback, F.col("n_clusters")).otherwise(F.col("n_clusters") - F.col("_kept")).cast("long").alias("n_excluded"),
+        "source", F.lit("negative_filter").alias("policy"))
+    return attach(clustered, kept, ["scene_id", "cluster_id"], "inner").drop("_keep"), summary
+
+
 def refine_cargo(
     clustered: DataFrame, floor: DataFrame, anchors: DataFrame, params: P.ExtractionParams = P.ExtractionParams(),
 ) -> DataFrame:
@@ -476,8 +557,12 @@ def refine_cargo(
     points left, keep the height-filtered points.  Adds ``attempt`` (NULL = kept).
     """
     best = score_clusters(clustered, floor, anchors, params.cargo_min_pts)
-    chosen = keep_cluster(clustered, best).select("scene_id", "point_id", *XYZ)
-    high = cut(above_floor(chosen, floor, params.refine_height))
+    return refine_points(keep_cluster(clustered, best), floor, params)
+
+
+def refine_points(chosen: DataFrame, floor: DataFrame, params: P.ExtractionParams = P.ExtractionParams()) -> DataFrame:
+    """The height filter and the re-clustering of :func:`refine_cargo` on chosen cargo points."""
+    high = cut(above_floor(chosen.select("scene_id", "point_id", *XYZ), floor, params.refine_height))
     enough = high.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 30)
     todo = cut(attach(high, enough, "scene_id", "inner").drop("_n"))
     found = None
