@@ -257,13 +257,16 @@ def _in_tiles(pts, direct, want, base, scene, key, columns, schema):
 
 # ------------------------------------------------------------------ fixed radius
 
+#: Asking locations of a tile that one task holds; a denser tile is dealt to several.
+_ASKING = 1 << 14
+
+
 def radius_count(
     df: DataFrame, r: float, dims=XYZ, scene: str = "scene_id", key: str = "point_id"
 ) -> DataFrame:
     """Number of other points within ``r`` (inclusive): ``scene_id, point_id, n``.
 
-    Copies of one location are counted once with a weight, and cells lie so that
-    points sharing a cell are counted without pairing them.
+    Copies of one location are counted once with a weight.
     """
     dims = list(dims)
     places = cut(df.groupBy(scene, *dims).agg(F.count(F.lit(1)).alias("_w")))
@@ -273,39 +276,36 @@ def radius_count(
     )
 
 
-def _weighted_counts(queries, places, r, dims, scene):
-    """Total weight of ``places`` within ``r`` of each distinct query location."""
-    width = r / len(dims) ** 0.5 * (1.0 - 1e-9)
-    cells = [f"_c{i}" for i in range(len(dims))]
-    keyed = places.withColumns({c: cell(a, width) for c, a in zip(cells, dims)})
-    asked = queries.withColumns({c: cell(a, width) for c, a in zip(cells, dims)})
-    # Everything in the query's own cell is within r by construction.
-    own = keyed.groupBy(scene, *cells).agg(F.sum("_w").alias("_own"))
-    reach = 2
-    shifts = _offsets(len(dims), reach)
-    ring = asked.select(scene, *cells).distinct().select(
-        scene, *[F.col(c).alias(f"_q{c}") for c in cells], F.explode(shifts).alias("_o")
-    )
-    nonzero = F.lit(False)
-    for i in range(len(dims)):
-        nonzero = nonzero | (F.col(f"_o.o{i}") != 0)
-    wanted = ring.where(nonzero).select(
-        scene, *[f"_q{c}" for c in cells],
-        *[(F.col(f"_q{c}") + F.col(f"_o.o{i}")).alias(c) for i, c in enumerate(cells)],
-    )
-    near = keyed.join(wanted, [scene, *cells]).select(
-        scene, "_w", *[F.col(d).alias(f"n{d}") for d in dims], *[F.col(f"_q{c}").alias(c) for c in cells]
-    )
-    d2 = squared_distance([f"n{d}" for d in dims], dims)
-    others = (
-        asked.select(scene, *dims, *cells).join(near, [scene, *cells]).where(d2 <= F.lit(r * r))
-        .groupBy(scene, *cells, *dims).agg(F.sum("_w").alias("_near"))
-    )
-    return (
-        asked.select(scene, *dims, *cells)
-        .join(own, [scene, *cells], "left").join(others, [scene, *cells, *dims], "left")
-        .select(scene, *dims, (F.coalesce("_own", F.lit(0)) + F.coalesce("_near", F.lit(0))).alias("_found"))
-    )
+def _weighted_counts(queries, places, r, dims, scene, strict: bool = False):
+    """Total weight of ``places`` within ``r`` of each distinct query location: ``scene, *dims, _found``.
+
+    Cells are as wide as the radius.  A tile of cells and its border go to a task, which settles boxes by bounds
+    (:class:`~pointloom.operators.tiles.Within`); locations of a dense tile are dealt to several tasks, and each sees the places block by block.
+    """
+    axes = {a: F.col(d).cast("double") for a, d in zip(XYZ, dims)} | {a: F.lit(0.0) for a in XYZ[len(dims):]}
+    bits = tiles.SIDE.bit_length() - 1
+    at = [F.floor(F.col(a) / F.lit(float(r))).cast("long").alias(f"_c{a}") for a in XYZ]
+    tile = [f"_t{a}" for a in XYZ]
+    asked = queries.select(scene, *[c.alias(a) for a, c in axes.items()]).select("*", *at).withColumns({t: F.shiftright(f"_c{a}", bits) for t, a in zip(tile, XYZ)})
+    asked = cut(asked)
+    chunks = cut(asked.groupBy(scene, *tile).agg(F.ceil(F.count(F.lit(1)) / _ASKING).cast("int").alias("_chunks")))
+    asked = attach(asked, chunks, [scene, *tile]).withColumn("_chunk", F.pmod(F.xxhash64(*XYZ), F.col("_chunks")).cast("int"))
+    given = places.select(scene, *[c.alias(a) for a, c in axes.items()], F.col("_w").cast("long").alias("_w")).select("*", *at)
+    for t, a in zip(tile, XYZ):
+        around = [F.shiftright(F.col(f"_c{a}") + step, bits) for step in (-1, 1)]
+        given = given.withColumn(t, F.explode(F.array_distinct(F.array(*around))))
+    given = attach(given, chunks, [scene, *tile], "inner").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    rel = None
+    for t, a in zip(tile, XYZ):
+        step = F.col(f"_c{a}") - F.col(t) * tiles.SIDE + 1
+        rel = step if rel is None else rel * tiles.WIDE + step
+    columns = [scene, *tile, "_chunk", *XYZ, rel.cast("int").alias("_rel")]
+    rows = asked.select(*columns, F.lit(True).alias("_ask"), F.lit(0).cast("long").alias("_w")).unionByName(given.select(*columns, F.lit(False).alias("_ask"), "_w"))
+    rows = rows.repartition(scene, *tile, "_chunk").sortWithinPartitions(scene, *tile, "_chunk", F.desc("_ask"))
+    scene_type = queries.schema[scene].dataType.simpleString()
+    found = rows.mapInArrow(
+        tiles.within_in_tiles(scene, [scene, *tile, "_chunk"], r, strict), f"`{scene}` {scene_type}, x double, y double, z double, _found long")
+    return found.select(scene, *[F.col(a).alias(d) for a, d in zip(XYZ, dims)], "_found")
 
 
 def eps_edges(
@@ -332,21 +332,18 @@ def within_distance(
 ) -> DataFrame:
     """Rows of ``left`` with (``keep``) or without a ``right`` row closer than ``r``.
 
-    ``scene=None`` measures across scenes.  Only distinct right-hand locations are
-    joined, and a semi join stops at the first hit.
+    ``scene=None`` measures across scenes.  Distinct locations of both sides meet in tiles; rows without a scene or with a missing
+    coordinate are near nothing.
     """
     dims = list(dims)
-    keys = [scene] if scene else []
-    cells = [f"_c{i}" for i in range(len(dims))]
-    asked = left.withColumns({c: cell(d, r) for c, d in zip(cells, dims)})
-    found = right.select(*keys, *dims).distinct().withColumns({c: cell(d, r) for c, d in zip(cells, dims)})
-    found = _spread(found.select(*keys, *cells, *[F.col(d).alias(f"_n{d}") for d in dims]), cells)
-    found = found.select(*[F.col(c).alias(f"_r{c}") for c in [*keys, *cells]], *[f"_n{d}" for d in dims])
-    d2 = squared_distance(dims, [f"_n{d}" for d in dims])
-    hit = (d2 < F.lit(r * r)) if strict else (d2 <= F.lit(r * r))
-    for c in [*keys, *cells]:
-        hit = hit & (F.col(c) == F.col(f"_r{c}"))
-    return asked.join(found, hit, "left_semi" if keep else "left_anti").drop(*cells)
+    own = scene or "_everywhere"
+    rows = left if scene else left.withColumn(own, F.lit(0))
+    others = right if scene else right.withColumn(own, F.lit(0))
+    complete = " AND ".join(f"`{c}` IS NOT NULL" for c in [own, *dims])
+    places = others.select(own, *dims).where(complete).distinct().withColumn("_w", F.lit(1).cast("long"))
+    asked = rows.select(own, *dims).where(complete).distinct()
+    near = _weighted_counts(asked, places, r, dims, own, strict).where(F.col("_found") > 0).select(own, *dims)
+    return rows.join(near, [own, *dims], "left_semi" if keep else "left_anti").select(*left.columns)
 
 
 # ------------------------------------------------------------ nearest in another set

@@ -143,6 +143,98 @@ class Nearest:
         self.d2[who, :have], self.ids[who, :have], self.at[who, :have] = d2, found, at
 
 
+#: Pairs of a cell's asking points and its candidates from which boxes are settled by bounds first.
+PAIRS = 1 << 16
+
+
+class Within:
+    """Weight of the candidates within ``r`` of each asking point, over any number of blocks.
+
+    Where a cell has many pairs, asking points and candidates are grouped in boxes of a quarter of the radius: a box whose farthest
+    corner is near enough for all points of the other counts whole, one whose nearest is too far drops, and only the
+    rest are compared point by point.
+    """
+
+    def __init__(self, xyz: np.ndarray, cells: np.ndarray, r: float, strict: bool):
+        self.xyz, self.r2, self.strict, self.box = xyz, r * r, strict, r / 4
+        order = np.argsort(cells, kind="stable")
+        self.groups = [(int(cells[g[0]]), g) for g in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1)]
+        self.weight = np.zeros(len(xyz), np.int64)
+        self.pairs = 0
+
+    def add(self, xyz: np.ndarray, weight: np.ndarray, cells: np.ndarray) -> None:
+        order = np.argsort(cells, kind="stable")
+        xyz, weight, cells = xyz[order], weight[order], cells[order]
+        for cell, members in self.groups:
+            strips = cell + _STRIPS
+            lows, highs = np.searchsorted(cells, strips - 1, "left"), np.searchsorted(cells, strips + 1, "right")
+            near = np.concatenate([np.arange(a, b) for a, b in zip(lows.tolist(), highs.tolist())])
+            if len(near) * len(members) > PAIRS:
+                self._bounded(members, xyz[near], weight[near])
+            elif len(near):
+                self._meet(members, xyz[near], weight[near])
+
+    def _meet(self, who: np.ndarray, xyz: np.ndarray, weight: np.ndarray) -> None:
+        step = max(1, DISTANCES // len(xyz))
+        for s in range(0, len(who), step):
+            own = self.xyz[who[s : s + step]]
+            self.pairs += len(own) * len(xyz)
+            d2 = None
+            for axis in range(3):
+                gap = own[:, axis, None] - xyz[None, :, axis]
+                d2 = gap * gap if d2 is None else d2 + gap * gap
+            hit = d2 < self.r2 if self.strict else d2 <= self.r2
+            self.weight[who[s : s + step]] += hit @ weight
+
+    def _boxes(self, xyz: np.ndarray):
+        """Rows by box, where each box starts, and its corners."""
+        _, box = np.unique(np.floor(xyz / self.box).astype(np.int64), axis=0, return_inverse=True)
+        order = np.argsort(box.ravel(), kind="stable")
+        start = np.concatenate([[0], np.flatnonzero(np.diff(box.ravel()[order])) + 1])
+        return order, start, np.minimum.reduceat(xyz[order], start), np.maximum.reduceat(xyz[order], start)
+
+    def _bounded(self, members: np.ndarray, xyz: np.ndarray, weight: np.ndarray) -> None:
+        order, start, low, high = self._boxes(xyz)
+        xyz, weight = xyz[order], weight[order]
+        total, stop = np.add.reduceat(weight, start), np.concatenate([start[1:], [len(xyz)]])
+        own, begin, own_low, own_high = self._boxes(self.xyz[members])
+        for a, b, lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(members)], own_low, own_high):
+            who = members[own[a:b]]
+            far = np.maximum(hi - low, high - lo)
+            gap = np.maximum(0, np.maximum(low - hi, lo - high))
+            inside = (far * far).sum(axis=1) <= self.r2 * (1 - 1e-9)
+            open_ = np.flatnonzero(~inside & ((gap * gap).sum(axis=1) <= self.r2 * (1 + 1e-9)))
+            self.weight[who] += total[inside].sum()
+            if len(open_):
+                rows = np.concatenate([np.arange(x, y) for x, y in zip(start[open_].tolist(), stop[open_].tolist())])
+                self._meet(who, xyz[rows], weight[rows])
+
+
+def within_in_tiles(scene: str, tile: list[str], r: float, strict: bool) -> Callable:
+    """Task function: rows ``scene, x, y, z, _rel, _ask, _w`` sorted by tile, asking ones (no weight) first; gives ``_found`` of each asking point."""
+
+    def run(batches):
+        for parts in tiles(batches, tile, "_ask"):
+            found = None
+            for block in parts:
+                xyz = np.column_stack([block.column(a).to_numpy() for a in "xyz"])
+                cells, weight = block.column("_rel").to_numpy(), block.column("_w").to_numpy()
+                if found is None:
+                    asking = np.flatnonzero(block.column("_ask").to_numpy(zero_copy_only=False))
+                    found = False
+                    if len(asking):
+                        head, found = block.take(pa.array(asking)), Within(xyz[asking], cells[asking], r, strict)
+                        rest = np.setdiff1d(np.arange(len(cells)), asking, assume_unique=True)
+                        xyz, cells, weight = xyz[rest], cells[rest], weight[rest]
+                if found and len(cells):
+                    found.add(xyz, weight, cells)
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [head.column(scene), *[head.column(a) for a in "xyz"], pa.array(found.weight)], names=[scene, "x", "y", "z", "_found"])
+
+    return run
+
+
 def list_columns(found: Nearest, own: np.ndarray, rows: np.ndarray, k: int) -> dict[str, pa.Array]:
     """Packed neighbour lists: ids, squared distances and coordinates of each of ``rows``."""
     count = len(rows)

@@ -1,5 +1,7 @@
 """Analytic cases and brute-force cross-checks on small frames."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -249,3 +251,90 @@ def test_components_of_long_shapes(spark):
     nodes = spark.createDataFrame([(1, i) for i in range(n + 1)], "scene_id long, id long")
     edges = spark.createDataFrame([(1, i, i + 1) for i in range(n - 1)], "scene_id long, a long, b long")
     assert {(r["root"], r["count"]) for r in C.components(nodes, edges).groupBy("root").count().collect()} == {(0, n), (n, 1)}
+
+
+def test_radius_counts_settle_boxes_by_bounds():
+    from pointloom.operators import tiles
+
+    rng = np.random.default_rng(6)
+    grown = []
+    for n in (3000, 30_000):
+        xyz = rng.uniform(0, 0.4, (n, 3))
+        weight = rng.integers(1, 4, n)
+        c = np.floor(xyz / 0.1).astype(int) + 1
+        cells = (c[:, 0] * tiles.WIDE + c[:, 1]) * tiles.WIDE + c[:, 2]
+        found = tiles.Within(xyz, cells, 0.1, False)
+        for part in np.array_split(np.arange(n), 3):
+            found.add(xyz[part], weight[part], cells[part])
+        for i in range(0, n, n // 40):
+            d = xyz[i] - xyz
+            assert found.weight[i] == weight[(d * d).sum(axis=1) <= 0.1 * 0.1].sum()
+        grown.append(found.pairs / n)
+    # Ten times the density: ten times the neighbours of a point, but fewer than that in compared pairs.
+    assert grown[1] < 8 * grown[0]
+
+
+def test_within_distance_forms(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.uniform(-1, 1, (300, 3)), rng.uniform(-1, 1, (40, 3))
+    b[:3] = a[:3] + [0.25, 0, 0]
+    left, right = cloud(spark, np.vstack([a, a[:5]])), cloud(spark, b, scene=1)
+    d2 = lambda i: min((b[:, 0] - a[i % 300, 0]) ** 2 + (b[:, 1] - a[i % 300, 1]) ** 2 + (b[:, 2] - a[i % 300, 2]) ** 2)
+    near = {i for i in range(305) if d2(i) < 0.25 * 0.25}
+    ids = lambda df: sorted(r["point_id"] for r in df.collect())
+    assert ids(N.within_distance(left, right, 0.25, scene=None)) == sorted(near)
+    assert ids(N.within_distance(left, right, 0.25, scene=None, keep=False)) == sorted(set(range(305)) - near)
+    assert N.within_distance(left, right, 0.25).count() == 0
+    missing = left.withColumn("x", F.when(F.col("point_id") == 0, F.lit(None)).otherwise(F.col("x")))
+    assert 0 in ids(N.within_distance(missing, right, 0.25, scene=None, keep=False)) and missing.columns == N.within_distance(missing, right, 0.25).columns
+
+
+def test_settled_points_are_not_searched_again(spark, monkeypatch):
+    """Most points are settled at the first level, and only the others ask again."""
+    rng = np.random.default_rng(8)
+    xyz = np.vstack([rng.uniform(0, 2, (1500, 3)), rng.uniform(0, 20, (60, 3))])
+    again = []
+    monkeypatch.setattr(N, "attach", lambda df, small, keys, *a, f=N.attach, **k: (again.append(small.count()) if "_ask" in small.columns else None) or f(df, small, keys, *a, **k))
+    got = {}
+    for r in N.knn(cloud(spark, xyz), 8).orderBy("point_id", "rank").collect():
+        got.setdefault(r["point_id"], []).append(r["nbr_id"])
+    assert got == brute_knn(xyz, 8) and sum(again) < 0.2 * len(xyz)
+
+
+def test_percentiles_narrow_until_buckets_are_small(spark):
+    rng = np.random.default_rng(9)
+    v = {0: rng.normal(size=4000), 1: np.round(rng.normal(size=900), 1), 2: rng.normal(size=1)}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in v.items() for x in xs] + [(3, None)], "g int, v double")
+    wanted = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.987, "e": 1.0}
+    got = {r["g"]: r for r in exact_percentiles(df, "g", "v", wanted, buckets=8, bound=20).collect()}
+    assert set(got) == {0, 1, 2}
+    for k, xs in v.items():
+        for name, p in wanted.items():
+            assert math.isclose(got[k][name], np.quantile(xs, p), rel_tol=1e-12, abs_tol=1e-12)
+    total = exact_percentiles(df, [], "v", {"m": 0.5}, buckets=4, bound=10).first()["m"]
+    assert math.isclose(total, np.median(np.concatenate(list(v.values()))), rel_tol=1e-12)
+
+
+def test_best_plane_leaves_no_winner_out(spark):
+    rng = np.random.default_rng(10)
+    xyz = np.vstack([np.column_stack([rng.uniform(-2, 2, 900), rng.normal(0, 0.01, 900), rng.uniform(-2, 2, 900)]), rng.uniform(-1, 1, (600, 3))])
+    normal = rng.normal([0, 1, 0], 0.1, (80, 3))
+    normal /= np.linalg.norm(normal, axis=1)[:, None]
+    planes = [(0, h, *map(float, n), float(rng.normal(0, 0.05))) for h, n in enumerate(normal)]
+    df = cloud(spark, xyz)
+    got = C.best_plane(df, spark.createDataFrame(planes, "scene_id long, h long, a double, b double, c double, d double")).first()
+    counts = [int((np.abs(p[2] * xyz[:, 0] + p[3] * xyz[:, 1] + p[4] * xyz[:, 2] + p[5]) <= 0.025).sum()) for p in planes]
+    assert (got["h"], got["inliers"]) == (int(np.argmax(counts)), max(counts))
+
+
+def test_choice_of_cargo_by_predictions(spark):
+    rows = [(s, 10 * c + i, 0.0, 0.5, 0.0, c) for s in range(4) for c, n in ((0, 5), (1, 9), (2, 3)) for i in range(n)] + [(0, 99, 0.0, 0.5, 0.0, None)]
+    clustered = spark.createDataFrame(rows, "scene_id long, point_id long, x double, y double, z double, cluster_id long")
+    preds = spark.createDataFrame(
+        [(0, 0, 3, 0.9), (0, 1, 2, 0.8), (0, 2, 1, 0.5), (1, 0, 3, 0.9), (1, 1, 2, 0.8), (1, 2, 3, 1.0), (2, 0, 3, 0.7), (2, 1, 2, 0.99)],
+        "scene_id long, cluster_id long, y_pred int, max_prob double")
+    points, summary = C.choose_cargo(clustered, None, None, preds=preds)
+    kept = {s: {r["cluster_id"] for r in points.where(f"scene_id = {s}").collect()} for s in range(4)}
+    assert kept == {0: {2}, 1: {1}, 2: {0, 2}, 3: {0, 1, 2}}  # confident exclusion, fallback, doubtful or missing predictions stay
+    got = {r["scene_id"]: (r["n_in_anchor"], r["n_clusters"], r["cluster_id"], r["n_kept"], r["n_excluded"], r["source"]) for r in summary.collect()}
+    assert got == {0: (18, 3, -1, 1, 2, "classifier"), 1: (17, 3, 1, 0, 3, "fallback_rank0"), 2: (17, 3, -1, 2, 1, "classifier"), 3: (17, 3, -1, 3, 0, "classifier")}
