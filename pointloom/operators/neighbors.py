@@ -49,6 +49,8 @@ _DELTAS = [((a << _AXIS_BITS) + b, c) for a, b, c in product((-1, 0, 1), repeat=
 _TARGETS = 4
 #: Levels that a scene's grid gains at a time while a cell is crowded.
 _FINER = 3
+#: Multiple of the wanted neighbours that a finest cell of a neighbour search may hold: a task compares a cell at once.
+_FULL = 16
 
 
 def _scene_grid(df: DataFrame, base: float, scene: str, *extra: Column, per_cell: float = 0.0) -> DataFrame:
@@ -203,7 +205,7 @@ def _searched(df, want, base, scene, key, columns, schema):
 
 def _in_tiles(pts, direct, want, base, scene, key, columns, schema):
     grid = _scene_grid(pts, base, scene, F.least(F.count(F.lit(1)), F.lit(want)).alias("_k"), per_cell=want / 3)
-    grid, occupied = _fitted_grid(direct, grid, 2 * want, scene, F.first("_k").alias("_k"), F.first("_base").alias("_base"))
+    grid, occupied = _fitted_grid(direct, grid, _FULL * want, scene, F.first("_k").alias("_k"), F.first("_base").alias("_base"))
     gridded = attach(direct, grid, scene).select(scene, key, *XYZ, *[_fine_index(a) for a in XYZ], "_k", "_base")
     levels = cut(_all_levels(occupied, F.col("_top")))
     filled = (
