@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 # No join is broadcast on an estimate: only sizes measured at run time count.
@@ -19,6 +21,12 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Set ``SETTINGS`` and let Python workers that see this folder import the package from it."""
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
     return spark
