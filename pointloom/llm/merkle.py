@@ -5,21 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import let, whole
+from .text import WORD, held, let, place, whole
 
 #: A paragraph whose hash is 0 modulo this ends a section, as an empty line does.
 SECTION_MODULUS = 8
-#: Pieces of a paragraph that estimate its likeness to another: runs of this many words.
-PIECE = r"(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){1,4}+"
-#: Documents per block when neighbours in id order are looked up, and blocks at most.
+#: Words of a piece; the pieces of a paragraph estimate its likeness to another.
+PIECE_WORDS = 4
+#: Documents per block when neighbours in id order are looked up, and blocks at most (8 bytes each in a broadcast row).
 BLOCK_DOCS = 400
-MAX_BLOCKS = 4096
+MAX_BLOCKS = 65_536
 
 
 def _pieces(paragraphs: Column) -> Column:
-    """Distinct hashes of the pieces of some paragraphs; a text of white space alone gives its own hash."""
-    runs = F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))))
-    return F.array_distinct(F.transform(runs, lambda r: F.xxhash64(F.rtrim(r))))
+    """Distinct hashes of the pieces of some paragraphs: every run of four words, of shorter paragraphs all words.
+
+    Runs begin at every word, so a word put in or taken out changes four of them at most.  A paragraph without
+    words has no piece.
+    """
+
+    def runs(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - PIECE_WORDS, F.lit(0)))
+        long = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(PIECE_WORDS)]))
+        return F.when(F.size(words) > 0, long).otherwise(F.array().cast("array<bigint>"))
+
+    hashes = F.transform(paragraphs, lambda p: let(F.regexp_extract_all(p, F.lit(WORD), F.lit(0)), runs))
+    return F.array_distinct(F.flatten(hashes))
 
 
 def tree(text: Column) -> Column:
@@ -65,34 +75,33 @@ def differing(own: Column, other: Column) -> Column:
     Equal roots differ nowhere; sections that the other tree holds are skipped whole, and
     only the paragraphs of the rest are looked at.
     """
-    other_sections = F.transform(other["sections"], lambda s: s["hash"])
-    open_sections = F.filter(own["sections"], lambda s: ~F.array_contains(other_sections, s["hash"]))
-    candidates = F.flatten(F.transform(open_sections, lambda s: F.sequence(s["first"], s["first"] + s["size"] - 1)))
-    missing = let(F.array_except(own["leaves"], other["leaves"]), lambda gone: F.filter(candidates, lambda i: F.array_contains(gone, F.get(own["leaves"], i))))
+    def rest(other_sections: Column, other_leaves: Column) -> Column:
+        open_sections = F.filter(own["sections"], lambda s: ~held(other_sections, s["hash"]))
+        candidates = F.flatten(F.transform(open_sections, lambda s: F.sequence(s["first"], s["first"] + s["size"] - 1)))
+        return F.filter(candidates, lambda i: ~held(other_leaves, F.get(own["leaves"], i)))
+
+    sections = F.sort_array(F.transform(other["sections"], lambda s: s["hash"]))
+    missing = let(sections, lambda s: let(F.sort_array(other["leaves"]), lambda h: rest(s, h)))
     return F.when(own["root"] == other["root"], F.array().cast("array<int>")).otherwise(missing)
 
 
 def likeness(own: Column, other: Column) -> Column:
     """Likeness of two trees, 0 to 1: shared pieces over all pieces (Dice), 1 for equal roots.
 
-    Paragraphs that both trees hold are matched by their leaves; only the paragraphs of
-    differing branches are compared piece by piece.  A piece is a run of four words, counted once a text.
+    Paragraphs that both trees hold (equal paragraphs have equal leaves) are matched whole; only the others
+    are compared piece by piece.  A piece is a run of four words, counted once a text.  Hash sets keep the
+    work in proportion to the texts, however many paragraphs they have.
     """
+    mine, theirs = own["paragraphs"], other["paragraphs"]
+    both = F.size(_pieces(F.array_intersect(mine, theirs))).cast("double")
 
-    def parts(common: Column) -> Column:
-        def only(t: Column) -> Column:
-            rows = F.filter(F.arrays_zip(t["paragraphs"].alias("p"), t["leaves"].alias("h")), lambda x: ~F.array_contains(common, x["h"]))
-            return _pieces(F.transform(rows, lambda x: x["p"]))
-
-        shared = F.filter(F.arrays_zip(own["paragraphs"].alias("p"), own["leaves"].alias("h")), lambda x: F.array_contains(common, x["h"]))
-        both = F.size(_pieces(F.transform(shared, lambda x: x["p"]))).cast("double")
-        return let(only(own), lambda a: let(only(other), lambda b: let(
-            both + F.size(F.array_intersect(a, b)), lambda same: F.when(
-                2 * both + F.size(a) + F.size(b) > 0, 2 * same / (2 * both + F.size(a) + F.size(b))
-            ).otherwise(F.lit(0.0)),
-        )))
+    def dice(a: Column, b: Column, shared: Column) -> Column:
+        total = 2 * shared + F.size(a) + F.size(b)
+        return F.when(total > 0, 2 * (shared + F.size(F.array_intersect(a, b))) / total).otherwise(F.lit(0.0))
 
-    return F.when(own["root"] == other["root"], F.lit(1.0)).otherwise(let(F.array_intersect(own["leaves"], other["leaves"]), parts))
+    only = lambda x, y: _pieces(F.array_except(x, y))
+    compared = let(only(mine, theirs), lambda a: let(only(theirs, mine), lambda b: let(both, lambda shared: dice(a, b, shared))))
+    return F.when(own["root"] == other["root"], F.lit(1.0)).otherwise(compared)
 
 
 def with_tree(docs: DataFrame, text: str = "text", name: str = "tree") -> DataFrame:
@@ -103,7 +112,8 @@ def with_tree(docs: DataFrame, text: str = "text", name: str = "tree") -> DataFr
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``doc_id, text, next_text``: the text of the next document in descending id (after the last: the first).
 
-    Ids are cut into blocks at approximate quantiles (a bounded array of ids); the largest id of each block is
+    Ids are cut into blocks of about ``block_docs`` documents at approximate quantiles (at most ``MAX_BLOCKS`` ids in
+    one broadcast row; larger tables have longer blocks, which sort with spilling); the largest id of each block is
     also given to the block above, which then holds every neighbour it needs, so no task orders more than a
     block.  Repeated ids go by their text's hash, null ids come last; null texts are empty.
     """
@@ -111,10 +121,10 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block
     counted = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     blocks = max(1, min(MAX_BLOCKS, counted // block_docs))
     cuts = docs.agg(F.percentile_approx(doc_id, [k / blocks for k in range(1, blocks)] or [0.5], 10 * blocks + 100).alias("q")).first()["q"]
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<long>")
+    cuts = docs.sparkSession.createDataFrame([(sorted({int(c) for c in cuts or []}),)], "_cuts array<long>")
     # Block 0 holds null ids, higher blocks higher ids.
-    block = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1 + F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))))
-    placed = rows.withColumn("_block", block)
+    block = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1 + place(F.col("_cuts"), F.col("doc_id"), upto=True))
+    placed = rows.join(F.broadcast(cuts)).withColumn("_block", block).drop("_cuts")
     heads = placed.groupBy("_block").agg(F.max(F.struct("doc_id", "_tie")).alias("_head"))
     # One row per block: bounded by MAX_BLOCKS.
     ordered = heads.select("_block", "_head", F.lead("_block").over(Window.orderBy("_block")).alias("_up"), F.max("_block").over(Window.partitionBy(F.lit(1))).alias("_top"), F.min("_block").over(Window.partitionBy(F.lit(1))).alias("_bottom"))
@@ -139,7 +149,8 @@ def edited(text: Column, other: Column) -> Column:
 def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text and likenesses to that and to the next text.
 
-    A single document is its own next.  Empty texts have the fingerprint of the empty text; an empty table
+    A single document is its own next.  Very long texts and texts of very many paragraphs cost in proportion to
+    their length.  Empty texts have the fingerprint of the empty text; an empty table
     gives an empty result; further columns are ignored.
     """
     pairs = with_next(docs, doc_id, text)

@@ -18,6 +18,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def place(ordered: Column, value: Column, upto: bool = False) -> Column:
+    """How many elements of an array in rising order lie below ``value``, or ``upto`` it (binary search, 31 steps at most)."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda s: s <= F.size(ordered))
+    below = lambda k: F.coalesce(F.get(ordered, k) <= value if upto else F.get(ordered, k) < value, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(below(at + s - 1), at + s).otherwise(at))
+
+
+def held(ordered: Column, value: Column) -> Column:
+    """Whether an array in rising order holds ``value``."""
+    return F.coalesce(F.get(ordered, place(ordered, value)) == value, F.lit(False))
+
+
 def whole(text) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
