@@ -24,9 +24,9 @@ def _pieces(paragraphs: Column) -> Column:
     """
 
     def runs(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - PIECE_WORDS, F.lit(0)))
-        long = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(PIECE_WORDS)]))
-        return F.when(F.size(words) > 0, long).otherwise(F.array().cast("array<bigint>"))
+        many = F.greatest(F.size(words) - PIECE_WORDS + 1, F.least(F.size(words), F.lit(1)))
+        along = F.arrays_zip(*[F.slice(words, F.lit(1 + k), many).alias(f"w{k}") for k in range(PIECE_WORDS)])
+        return F.transform(along, lambda run: F.xxhash64(run))
 
     hashes = F.transform(paragraphs, lambda p: let(F.regexp_extract_all(p, F.lit(WORD), F.lit(0)), runs))
     return F.array_distinct(F.flatten(hashes))
