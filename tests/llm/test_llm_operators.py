@@ -322,6 +322,34 @@ def test_language_model_counts_and_base(spark, docs):
     assert lm.score_documents(docs.limit(0)).count() == 0
 
 
+def test_long_words_are_coded_in_pieces():
+    words = [b"abcdefghij" * 30 + b"x", b"q", b"z" * 70, b"", b"ab"]
+    slots, bits, sizes = lm.bit_slots([lm._symbol(w) for w in words])
+    got = list(lm.coded(words, 16))
+    assert np.array_equal(np.concatenate([g[1] for g in got], axis=1), slots) and np.array_equal(np.concatenate([g[2] for g in got]), bits)
+    assert max(len(g[2]) for g in got) <= 8 * 16 and {len(g[0]) for g in got} == {1, 2}
+    places, found = np.concatenate([g[0] for g in got]), np.concatenate([g[3] for g in got])
+    assert np.bincount(places, found).tolist() == sizes.tolist()
+
+
+def test_mixing_weights_learn_from_every_training_word(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LESSON", 50)
+    rng = np.random.default_rng(5)
+    words = sorted({bytes(rng.choice(list(b"abcdef"), rng.integers(2, 9)).tolist()) for _ in range(600)})
+    vocabulary = spark.createDataFrame([(bytearray(w), 2, int(i % 7 > 0)) for i, w in enumerate(words)], "word binary, n_all long, n_train long").repartition(3)
+    zeros, ones = lm.bit_tables(vocabulary)
+    known = [w for i, w in enumerate(words) if i % 7]
+    assert lm.unpacked_counts(zeros[0]).sum() + lm.unpacked_counts(ones[0]).sum() == pytest.approx(8 * sum(len(w) + 1 for w in known), rel=0.01)
+    mixer = lm.train(vocabulary)
+    alone = lm.Mixer.of_counts(zeros, ones)
+    assert np.abs(mixer.weights - alone.weights).max() > 1e-3
+    used, hit = lm.Mixer.of_counts(zeros, ones, learning=True).learn(known)
+    # A gate that any training word uses has learnt, the others keep their start.
+    assert np.array_equal((mixer.weights != alone.weights).any(axis=1), used > 0) and used.sum() == 8 * sum(len(w) + 1 for w in known)
+    unseen = [w for i, w in enumerate(words) if i % 7 == 0]
+    assert mixer.log10_words(unseen).sum() > alone.log10_words(unseen).sum()
+
+
 def test_recall_follows_the_document():
     earlier, a, b = lm.recall_terms(np.array([0, 1, 0, 0, 2]))
     assert earlier.tolist() == [0, 0, 1, 2, 0] and a[0] == 1 and np.all(a + b <= 1 + 1e-12)
