@@ -10,30 +10,24 @@ from pyspark.sql import functions as F
 from .lineage import cut, discard
 
 
-def _flat(parents: DataFrame) -> DataFrame:
-    """Parents with every chain replaced by its root: each step doubles the jump twice."""
-    while True:
-        step = parents
-        for _ in range(2):
-            up = step.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
-            step = step.join(up, "parent").select("node", F.col("_up").alias("parent"))
-        old = parents.select("node", F.col("parent").alias("_old"))
-        jumped = cut(step.join(old, "node").select("node", "parent", (F.col("parent") != F.col("_old")).alias("_moved")))
-        moved = jumped.where("_moved").limit(1).count()
-        discard(parents)
-        parents = jumped.select("node", "parent")
-        if not moved:
-            return parents
+def _jumped(parents: DataFrame) -> DataFrame:
+    """Parents of the fourth generation (a root is its own parent)."""
+    step = parents
+    for _ in range(2):
+        up = step.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
+        step = step.join(up, "parent").select("node", F.col("_up").alias("parent"))
+    return step
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node of ``edges``; ``root`` is the smallest node reachable.
 
     In every round each node hooks to its neighbour (or itself) with the smallest
-    round-seeded hash, chains are flattened by pointer jumping, and edges are
-    redrawn between the roots.  A node is a local minimum of random hashes with
-    probability at most one half, so the number of nodes with edges halves in
-    expectation whatever the shape of the graph: rounds grow with the logarithm of
+    round-seeded hash, and edges are redrawn between the ancestors that four steps up the
+    chains lead to.  A chain's own edges are redrawn too, so what a longer chain joins stays
+    joined and no chain need be flat.  A node is a local minimum of random hashes with
+    probability at most one half and chains of falling hashes are short, so the number of nodes with edges falls
+    by a factor in expectation whatever the shape of the graph: rounds grow with the logarithm of
     the node count and need no cap.  Minima are partial aggregates, so a hub's
     edges never meet in one task.  Self-loops are allowed and give a
     component of their own; edges with a null end are ignored; an empty table
@@ -44,11 +38,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     live = cut(first.where("a <> b"))
     layers: list[DataFrame] = []
-    while live.limit(1).count():
+    while not live.isEmpty():
         rank = lambda c: F.struct(F.xxhash64(F.lit(len(layers)), F.col(c)).alias("h"), F.col(c).alias("v"))
         ends = live.select(F.col("a").alias("node"), rank("b").alias("to")).union(live.select(F.col("b"), rank("a")))
         best = ends.groupBy("node").agg(F.min("to").alias("to"))
-        parents = _flat(cut(best.select("node", F.least(F.col("to"), rank("node"))["v"].alias("parent"))))
+        hooked = cut(best.select("node", F.least(F.col("to"), rank("node"))["v"].alias("parent")))
+        parents = cut(_jumped(hooked))
+        discard(hooked)
         layers.append(parents)
         left = parents.select(F.col("node").alias("a"), F.col("parent").alias("_a"))
         right = parents.select(F.col("node").alias("b"), F.col("parent").alias("_b"))
