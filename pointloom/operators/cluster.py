@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,6 +197,18 @@ def first_success(results: list[DataFrame], by: str = "scene_id") -> DataFrame:
     ).drop("_best")
 
 
+def in_turn(df: DataFrame, attempts: list, by: str = "scene_id") -> DataFrame:
+    """:func:`first_success` of clusterings that are functions of ``df``: each attempt sees only the scenes that are still without a cluster."""
+    left, found = df, []
+    for i, attempt in enumerate(attempts):
+        got = cut(attempt(left).where(F.col("cluster_id").isNotNull()).withColumn("attempt", F.lit(i)))
+        found.append(got)
+        left = cut(left.join(got.select(by).distinct(), by, "left_anti"))
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
 # ---------------------------------------------------------------- cluster ranking
 
 def cluster_sizes(points: DataFrame) -> DataFrame:

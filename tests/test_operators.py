@@ -338,3 +338,20 @@ def test_choice_of_cargo_by_predictions(spark):
     assert kept == {0: {2}, 1: {1}, 2: {0, 2}, 3: {0, 1, 2}}  # confident exclusion, fallback, doubtful or missing predictions stay
     got = {r["scene_id"]: (r["n_in_anchor"], r["n_clusters"], r["cluster_id"], r["n_kept"], r["n_excluded"], r["source"]) for r in summary.collect()}
     assert got == {0: (18, 3, -1, 1, 2, "classifier"), 1: (17, 3, 1, 0, 3, "fallback_rank0"), 2: (17, 3, -1, 2, 1, "classifier"), 3: (17, 3, -1, 3, 0, "classifier")}
+
+
+def test_later_attempts_see_only_the_scenes_without_a_cluster(spark):
+    rows = spark.createDataFrame([(s, p) for s in range(4) for p in range(3)], "scene_id long, point_id long")
+    asked = []
+
+    def attempt(success):
+        def run(df):
+            asked.append(sorted(r[0] for r in df.select("scene_id").distinct().collect()))
+            return df.withColumn("cluster_id", F.when(F.col("scene_id").isin(success) & (F.col("point_id") > 0), F.col("point_id")))
+        return run
+
+    attempts = [attempt([0, 2]), attempt([0, 1]), attempt([2])]
+    got = sorted(map(tuple, C.in_turn(rows, attempts).select("scene_id", "point_id", "attempt").collect()))
+    assert asked == [[0, 1, 2, 3], [1, 3], [3]]
+    want = C.first_success([a(rows) for a in attempts])
+    assert got == sorted(map(tuple, want.select("scene_id", "point_id", "attempt").collect())) and len(got) == 6
