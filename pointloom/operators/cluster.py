@@ -12,8 +12,9 @@ from ..functions.columns import cell, hash_uniform, squared_distance
 from ..functions.groups import attach, first_n, with_stats
 from ..functions.graph import connected_components
 from ..functions.lineage import cut
+from . import whole
 from .grids import column_stats
-from .neighbors import _offsets, _weighted_counts
+from .neighbors import _offsets, _types, _weighted_counts, in_scenes, large_scenes, parted
 from .transforms import above_floor, height_slice, inside_anchor
 
 XYZ = ("x", "y", "z")
@@ -66,12 +67,26 @@ def dbscan(
     core point; border points join the cluster with the smallest core id among
     the core points in reach.  Clusters are numbered 0.. by their smallest core id.
 
+    A scene that a task may hold is clustered there (:func:`~pointloom.operators.whole.dense_parts`), larger ones on cells.
+    """
+    dims = list(dims)
+    rows = cut(df.where(F.col(scene).isNotNull()))
+    rows = rows.select(scene, key, *[c for c in rows.columns if c not in (scene, key)])
+    large, total = large_scenes(scene, rows)
+    small, rest = parted(rows, large, scene)
+    found = in_scenes(small, scene, total).mapInArrow(
+        whole.dense_in_scenes(scene, key, dims, eps, min_pts), f"{_types(rows, rows.columns)}, cluster_id long, is_core boolean")
+    return found if rest is None else found.unionByName(_dbscan_on_cells(cut(rest), eps, min_pts, dims, scene, key))
+
+
+def _dbscan_on_cells(df, eps, min_pts, dims, scene, key):
+    """:func:`dbscan` of large scenes.
+
     The graph is built on cells of diagonal ``eps``: the points of one cell are
     mutual neighbours, so full cells need no pairs at all and the graph has one node
     per cell.  Point pairs are formed only for thinly filled cells and between
     neighbouring cells whose outermost points do not settle the question.
     """
-    dims = list(dims)
     n_dims = len(dims)
     width = eps / n_dims ** 0.5 * (1.0 - 1e-9)
     cells = [f"_c{i}" for i in range(n_dims)]
