@@ -11,7 +11,7 @@ from ..functions.columns import (
 from ..functions.groups import attach
 from ..functions.lineage import cut
 from .grids import height_above_local_floor
-from .neighbors import knn_moments, radius_count
+from .neighbors import knn_moments, neighbourhoods
 from .transforms import y_norm
 from .volumes import oriented_box
 
@@ -51,68 +51,59 @@ def _two_scale_pca(near: DataFrame, ddof: int) -> DataFrame:
     return m
 
 
-def _normal_spread(pca: DataFrame) -> DataFrame:
-    """Population std of |n_y| over each point's first neighbours (``ids``): the normals of all points are needed before."""
-    normals = pca.select("scene_id", F.col("point_id").alias("nbr_id"), F.col("s_ny").alias("_ny"))
-    links = pca.select("scene_id", "point_id", F.explode("ids").alias("nbr_id"))
-    return links.join(normals, ["scene_id", "nbr_id"]).groupBy("scene_id", "point_id").agg(
-        F.stddev_pop("_ny").alias("normal_y_std")
-    )
-
-
 def point_features(
     df: DataFrame, k: int = 20, k_large: int = 50, radius: float = 0.15, base_cell: float = 0.05, keep=("label",),
 ) -> DataFrame:
     """The 19 per-point features (``POINT_FEATURES``) plus ids and the ``keep`` columns.
 
-    One k_large search serves both scales and leaves one row a point: the sums of both covariances and the ids of the first
-    ``k`` neighbours, for the spread of their normals.
+    What needs other groupings (heights above the local floor and within the scene) is joined to the narrow rows first.  One
+    k_large search then serves both scales, the count within the radius and the spread of the normals, and leaves one row a point.
     """
     keep = [c for c in keep if c in df.columns]
-    pca = cut(_two_scale_pca(knn_moments(df, k, k_large, base_cell=base_cell), 0).select(
-        "scene_id", "point_id", "y", "ids", "s_n", "s_sy", "s_syy", "hi", "lo",
-        *[p + c for p in ("s_", "b_") for c in ("l1", "l2", "l3", "ny")]))
-    spread = _normal_spread(pca)
-    counts = radius_count(df, radius).withColumnRenamed("n", "local_density")
-    floors = height_above_local_floor(df.select("scene_id", "point_id", *XYZ, *keep))
-    base = y_norm(floors)
+    base = y_norm(height_above_local_floor(df.select("scene_id", "point_id", *XYZ, *keep)))
+    own = [*keep, "y_norm", "height_above_local_floor"]
+
+    def describe(near: DataFrame) -> DataFrame:
+        return _two_scale_pca(near, 0).select(
+            "scene_id", "point_id", "y", *own, "ids", "s_n", "s_sy", "s_syy", "hi", "lo", "within",
+            *[p + c for p in ("s_", "b_") for c in ("l1", "l2", "l3", "ny")])
+
+    pca = neighbourhoods(base, k, k_large, describe, "s_ny", radius=radius, keep=own, base_cell=base_cell)
     n = F.col("s_n").cast("double")
     mean_dy = F.col("s_sy") / n
     s1, s2 = safe_denominator(F.col("s_l1")), safe_denominator(F.col("s_l2"))
     b1 = safe_denominator(F.col("b_l1"))
     total = safe_denominator(F.col("s_l1") + F.col("s_l2") + F.col("s_l3"))
-    local = pca.select(
-        "scene_id", "point_id", (F.col("y") + mean_dy).alias("nbr_y_mean"),
+    return pca.select(
+        "*", F.col("within").alias("local_density"), (F.col("y") + mean_dy).alias("nbr_y_mean"),
         F.sqrt(F.greatest(F.col("s_syy") / n - mean_dy * mean_dy, F.lit(0.0))).alias("nbr_y_std"),
         (F.col("hi") - F.col("lo")).alias("height_range_local"), F.col("s_ny").alias("normal_y"),
         (F.col("s_l3") / total).alias("curvature"), ((F.col("s_l2") - F.col("s_l3")) / s1).alias("planarity"),
         ((F.col("s_l1") - F.col("s_l2")) / s1).alias("linearity"), (F.col("s_l3") / s1).alias("sphericity"),
-        F.col("s_ny").alias("verticality"), (F.col("s_l1") / s2).alias("lam_ratio_12"),
+        F.col("s_ny").alias("verticality"), (F.col("s_l1") / s2).alias("lam_ratio_12"), F.col("spread").alias("normal_y_std"),
         ((F.col("b_l2") - F.col("b_l3")) / b1).alias("planarity_large"),
         ((F.col("b_l1") - F.col("b_l2")) / b1).alias("linearity_large"), (F.col("b_l3") / b1).alias("sphericity_large"),
         F.col("b_ny").alias("verticality_large"),
-    )
-    keys = ["scene_id", "point_id"]
-    joined = base.join(local, keys).join(counts, keys).join(spread, keys)
-    return joined.select(*keys, *keep, *POINT_FEATURES)
+    ).select("scene_id", "point_id", *keep, *POINT_FEATURES)
 
 
 def raw_point_features(df: DataFrame, k: int = 20, k_large: int = 50, eps: float = 1e-10, base_cell: float = 0.05) -> DataFrame:
     """Ten features of unlabelled clouds: the point itself is left out of its neighbourhood
     and the covariance is the sample covariance.  ``y`` is the height."""
-    near = knn_moments(df, k, k_large, include_self=False, base_cell=base_cell)
-    pca = cut(_two_scale_pca(near, 1).select(
-        "scene_id", "point_id", F.col("y").alias("height"), "ids", *[p + c for p in ("s_", "b_") for c in ("l1", "l2", "l3", "ny")]))
-    spread = _normal_spread(pca)
+
+    def describe(near: DataFrame) -> DataFrame:
+        return _two_scale_pca(near, 1).select(
+            "scene_id", "point_id", F.col("y").alias("height"), "ids", "s_ny", *[p + c for p in ("s_", "b_") for c in ("l1", "l2", "l3")])
+
+    out = neighbourhoods(df, k, k_large, describe, "s_ny", include_self=False, base_cell=base_cell)
     s1, s2, s3, b1, b2, b3 = [F.col(c) for c in ("s_l1", "s_l2", "s_l3", "b_l1", "b_l2", "b_l3")]
-    out = pca.join(spread, ["scene_id", "point_id"])
     return out.select(
         "scene_id", "point_id",
         (s3 / (s1 + s2 + s3 + eps)).alias("curvature"), ((s2 - s3) / (s1 + eps)).alias("planarity"),
         ((s1 - s2) / (s1 + eps)).alias("linearity"), (s3 / (s1 + eps)).alias("sphericity"),
         (s1 / (s2 + eps)).alias("lam_ratio_12"), ((b2 - b3) / (b1 + eps)).alias("planarity_large"),
         ((b1 - b2) / (b1 + eps)).alias("linearity_large"), (b3 / (b1 + eps)).alias("sphericity_large"),
-        "normal_y_std", "height",
+        F.col("spread").alias("normal_y_std"), "height",
     )
 
 
