@@ -362,12 +362,25 @@ def _inliers(packs: DataFrame, planes: DataFrame, tolerance: float) -> DataFrame
 def best_plane(df: DataFrame, planes: DataFrame, tolerance: float = 0.025, box: float = _BOX) -> DataFrame:
     """The hypothesis with most inliers per scene (ties: the smallest ``h``): ``h, a, b, c, d, inliers``.
 
+    Points and planes of a scene that a task may hold are dealt to it together and all counted there; larger ones are bounded by boxes.
+    """
+    rows = df.select("scene_id", *XYZ)
+    planes = cut(planes.select("scene_id", "h", "a", "b", "c", "d"))
+    large, total = large_scenes("scene_id", rows, planes)
+    (small, rest), (drawn, far) = parted(rows, large, "scene_id"), parted(planes, large, "scene_id")
+    tagged = small.withColumn("_plane", F.lit(False)).unionByName(drawn.withColumn("_plane", F.lit(True)), allowMissingColumns=True)
+    found = in_scenes(tagged, "scene_id", total).mapInArrow(
+        whole.planes_in_scenes("scene_id", tolerance), f"{_types(planes, ['scene_id', 'h'])}, inliers long, {_types(planes, 'abcd')}")
+    return found if rest is None else found.unionByName(_best_plane_by_boxes(cut(rest), cut(far), tolerance, box))
+
+
+def _best_plane_by_boxes(rows: DataFrame, planes: DataFrame, tolerance: float, box: float) -> DataFrame:
+    """:func:`best_plane` of large scenes.
+
     Branch and bound: points are counted in small boxes, and for every plane the boxes that it may touch bound its inliers from
     above.  The plane with the highest bound is counted exactly; of the others only those whose bound reaches that count are
     counted on the points.  No plane that could win is left out, and only the few that could meet all points.
     """
-    rows = df.select("scene_id", *XYZ)
-    planes = cut(planes.select("scene_id", "h", "a", "b", "c", "d"))
     points = cut(_packed(rows.withColumns({"w": F.lit(1).cast("long"), "r": F.lit(0.0)}), "x", "y", "z", "w", "r"))
     centre = [((F.floor(F.col(a) / box) + 0.5) * box).alias(a) for a in XYZ]
     boxes = rows.groupBy("scene_id", *centre).agg(F.count(F.lit(1)).alias("w")).withColumn("r", F.lit(box * 3 ** 0.5 / 2 * (1 + 1e-9) + 1e-9))
