@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from pointloom import params as P
+from pointloom.functions.lineage import cut
 from pointloom.operators import grids as G
 from pointloom.operators import transforms as T
 from pointloom.sources import fixtures as fx
@@ -56,7 +57,7 @@ def _(spark, sf):
 @query("prj2_translate_floor", f"""WITH {PTS}, {FLOOR_Y_SQL}
 SELECT scene_id, point_id, {rd("y - floor_y")} AS y FROM pts JOIN fy USING (scene_id)""")
 def _(spark, sf):
-    p = fx.points(spark, sf)
+    p = cut(fx.points(spark, sf))
     return rounded(T.translate_floor(p, G.detect_floor_y(p)).select("scene_id", "point_id", "y"), "y")
 
 
