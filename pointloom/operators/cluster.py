@@ -647,8 +647,8 @@ def tall_column_person(
     max_footprint: float = 0.5, edge: int = 2,
 ) -> DataFrame:
     """Points of narrow, tall columns at the rim of the grid (standing persons)."""
-    high = df.where(F.col("y") >= floor_y)
-    stats = column_stats(high, cell_size)
+    high = cut(df.where(F.col("y") >= floor_y))
+    stats = cut(column_stats(high, cell_size))
     size = stats.groupBy("scene_id").agg((F.max("i") + 1).alias("_ni"), (F.max("j") + 1).alias("_nj"))
     tall = cut(stats.where((F.col("y_max") >= min_top) & (F.col("y_range") >= min_range)))
     parts = cut(grid_components(tall))
