@@ -35,7 +35,20 @@ def components(nodes: DataFrame, edges: DataFrame, scene: str = "scene_id") -> D
 
 
 def grid_components(cells: DataFrame, by="scene_id") -> DataFrame:
-    """4-connected components of occupied cells: adds ``component`` (0.. per scene).
+    """4-connected components of occupied cells: adds ``component`` (0.. per scene, by the smallest cell ``i, j``).
+
+    A scene whose cells a task may hold is settled there, larger ones as a graph (:func:`_grid_components_of_runs`).
+    """
+    known = cut(cells.where(F.col(by).isNotNull() & F.col("i").isNotNull() & F.col("j").isNotNull()))
+    rows = known.select(by, "i", "j", *[c for c in known.columns if c not in (by, "i", "j")])
+    large, total = large_scenes(by, rows)
+    small, rest = parted(rows, large, by)
+    found = in_scenes(small, by, total).mapInArrow(whole.components_in_scenes(by), f"{_types(rows, rows.columns)}, component int")
+    return found if rest is None else found.unionByName(_grid_components_of_runs(cut(rest), by))
+
+
+def _grid_components_of_runs(cells: DataFrame, by: str) -> DataFrame:
+    """:func:`grid_components` of large scenes.
 
     Runs of adjacent cells in a column are joined first, so the graph has one node
     per run instead of one per cell.
@@ -484,7 +497,7 @@ def keep_cluster(points: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def find_anchor(df: DataFrame, floor: DataFrame, params: P.ExtractionParams = P.ExtractionParams()) -> DataFrame:
     """XZ box of the dominant blob above ``floor_y + anchor_y_min``; no row when there is none."""
-    high = cut(above_floor(df, floor, params.anchor_y_min))
+    high = above_floor(df, floor, params.anchor_y_min)
     clustered = cut(dbscan(high, params.anchor_eps, params.anchor_min_pts, dims=("x", "z")))
     return anchor_box(keep_cluster(clustered, largest_cluster(cluster_sizes(clustered))))
 
@@ -498,7 +511,7 @@ def pallet_candidates(
 
     if clustered is None:
         part = height_slice(df, floor, params.slice_lo, params.slice_hi, anchors, params.anchor_margin)
-        clustered = cut(dbscan(cut(part), params.pallet_eps, params.pallet_min_pts))
+        clustered = cut(dbscan(part, params.pallet_eps, params.pallet_min_pts))
     boxes = oriented_box(clustered.where(F.col("cluster_id").isNotNull()), ["scene_id", "cluster_id"])
     aspect = F.col("box_long") / F.col("box_short")
     density = F.col("n") / (F.col("box_long") * F.col("box_short") + 1e-9)
@@ -634,7 +647,7 @@ def halo_filter(cells: DataFrame, params: P.HeightFieldParams = P.HeightFieldPar
     component was dropped.
     """
     valid = cells.where(F.col("h") >= params.min_height)
-    parts = grid_components(valid, by)
+    parts = cut(grid_components(valid, by))
     per_part = parts.groupBy(by, "component").agg(F.bool_or(F.col("h") >= params.tall).alias("_tall"))
     scene = per_part.groupBy(by).agg(F.bool_or("_tall").alias("_any"), F.bool_and("_tall").alias("_all"))
     judged = per_part.join(scene, by)

@@ -68,7 +68,7 @@ def run_extraction(
     cells = G.height_field(cargo, floor, field)
     if fill:
         cells = G.fill_columns(cells, field.tall)
-    volume = G.height_field_volume(C.halo_filter(cut(cells), field), cargo.select("scene_id"), field)
+    volume = G.height_field_volume(C.halo_filter(cells, field), cargo.select("scene_id"), field)
     box = oriented_box(cargo, "scene_id").select("scene_id", F.col("n").alias("n_cargo"), "dim_1", "dim_2", "dim_3", F.col("box_volume").alias("obb_volume"))
     hull = hull_prism_volume(cargo).select("scene_id", F.col("prism_volume").alias("hull_volume"))
     anchor_hull = hull_prism_volume(inside_anchor(above, anchors, params.anchor_margin)).select(

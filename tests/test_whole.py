@@ -126,3 +126,32 @@ def test_traffic_follows_the_points(spark):
         lambda: N.within_distance(*halves, 0.3).count(), lambda: C.dbscan(points, 0.15, 10).count(),
     ):
         assert traffic(spark, run) < 200 * 30000
+
+
+def test_grid_components(spark, limit):
+    """Cells of four scenes, a null among them, against a flood; and few jobs, where each round of the graph took several."""
+    random = np.random.default_rng(8)
+    snake = [(i, j) for i in range(0, 30, 2) for j in range(30)] + [(i, 29 * (i // 2 % 2 == 0)) for i in range(1, 29, 2)]
+    scenes = {0: snake, 1: sorted({*map(tuple, random.integers(-9, 9, (150, 2)).tolist())}), 2: [(5, 5)], 3: [(0, 0), (0, 2), (1, 1), (-1, 1)]}
+    rows = [(s, i, j, float(i * j)) for s, cells in scenes.items() for i, j in cells]
+    rows += [(3, 0, 0, 7.0), (None, 1, 1, 0.0), (3, None, 1, 0.0)]
+    expected = []
+    for s, cells in scenes.items():
+        left, number = set(cells), 0
+        while left:
+            todo, part = [min(left)], set()
+            while todo:
+                i, j = todo.pop()
+                if (i, j) in left:
+                    left.remove((i, j))
+                    part.add((i, j))
+                    todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
+            expected += [(r[0], r[1], r[2], r[3], number) for r in rows if r[0] == s and (r[1], r[2]) in part]
+            number += 1
+    df = spark.createDataFrame(random.permutation(np.array(rows, object)).tolist(), "scene_id long, i long, j long, h double")
+    spark.sparkContext.setJobGroup("grid", "grid")
+    got = [tuple(r) for r in C.grid_components(df).collect()]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("grid"))
+    spark.sparkContext.setJobGroup("", "")
+    assert sorted(got) == sorted(expected)
+    assert whole.WHOLE < 1 << 14 or jobs <= 8
