@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pointloom.functions import graph
 from pointloom.functions.groups import exact_percentiles, first_n
 
 from test_whole import traffic
@@ -27,3 +28,22 @@ def test_small_groups_are_shuffled_once(spark):
     df = spark.range(60000).selectExpr("id % 20 AS g", "id AS i", "rand(1) AS v").localCheckpoint()
     assert traffic(spark, lambda: first_n(df, "g", "v", "i", F.lit(5000)).count()) < 60000
     assert traffic(spark, lambda: exact_percentiles(df, "g", "v", {"m": 0.5}).count()) < 40 * 60000
+
+
+@pytest.mark.parametrize("few", [1 << 20, 40, 0], ids=["one task", "last rounds", "rounds"])
+def test_components_of_few_edges(spark, monkeypatch, few):
+    """What is left of a graph is settled in one task; a small graph takes no rounds."""
+    random = np.random.default_rng(3)
+    edges = [(i, i + 1) for i in range(300) if i % 60] + [(-5, 2 ** 62), (7, 7), (900, 900)] + random.integers(1000, 1400, (250, 2)).tolist()
+    root = {v: v for e in edges for v in e}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    monkeypatch.setattr(graph, "FEW", few, raising=False)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in edges] + [(None, 3)], "a long, b long").repartition(5)
+    spark.sparkContext.setJobGroup("few", "few")
+    got = graph.connected_components(df)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("", "")
+    assert {r.node: r.root for r in got.collect()} == root
+    assert few < 1 << 20 or jobs <= 12
