@@ -98,21 +98,22 @@ def near_links(prints: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS, crow
     fingerprints is not paired: its members are keyed once more on the whole
     fingerprint with ``max_bits`` wildcards, and members of such a key, which lie
     within the bound by construction, are linked in a chain.  This is exact too, and linear
-    in the bucket.
+    in the bucket.  The keys are merged and never broadcast: the planner takes an exploded table
+    for as large as the file it comes from, and a fingerprint has 66 keys.
     """
     distinct = prints.select(F.col(fp).alias("fp"))
     variants = [_variants(s, shift, width) for s, (shift, width) in enumerate(_segments(max_bits))]
     key = ["s", "bit", "value"]
     index = distinct.select("fp", F.explode(F.concat(*variants)).alias("v")).select("fp", "v.*")
     sizes = index.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(index.join(sizes, key))
+    shared = cut(index.join(sizes.hint("merge"), key))
     # In a bucket of a deleted bit, rows without the bit meet rows with it.
     side = F.when(F.col("bit") < 0, F.lit(0)).otherwise(F.call_function("shiftrightunsigned", "fp", F.greatest("bit", F.lit(0))).bitwiseAND(F.lit(1)))
     few = shared.where(F.col("n") <= crowd).withColumn("side", side)
     left = few.where((F.col("bit") < 0) | (F.col("side") == 0)).select(*key, F.col("fp").alias("a"))
     right = few.where((F.col("bit") < 0) | (F.col("side") == 1)).select(*key, F.col("fp").alias("b"))
     same = ((left["bit"] >= 0) | (F.col("a") < F.col("b"))) & (_distance("a", "b") <= max_bits)
-    pairs = left.join(right, [left[k] == right[k] for k in key] + [same]).select("a", "b")
+    pairs = left.join(right.hint("merge"), [left[k] == right[k] for k in key] + [same]).select("a", "b")
     crowded = shared.where(F.col("n") > crowd).select("fp", "s", "bit")
     return pairs.union(_crowd_links(crowded, max_bits))
 

@@ -86,6 +86,20 @@ def test_links_are_complete_on_both_paths(spark, crowd, max_bits):
         assert {tuple(sorted((at[r["a"]], at[r["b"]]))) for r in links} == set(every)
 
 
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    """A small table of fingerprints has 66 keys a row, which no plan may send to the driver on the size of its file."""
+    prints = simhash.cut(spark.range(3000).select(F.xxhash64("id").alias("fp")))
+    plans, own = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: plans.append(df) or own(df))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        plans.append(simhash.near_links(prints))
+        assert len(plans) == 2 and not any("BroadcastHashJoin" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_one_document_of_each_group_stays(spark, docs):
     kept = simhash.keep_representatives(docs)
     assert kept.columns == docs.columns
