@@ -364,6 +364,52 @@ def test_mixing_weights_learn_from_every_training_word(spark, monkeypatch):
     assert mixer.log10_words(unseen).sum() > alone.log10_words(unseen).sum()
 
 
+def test_contexts_count_every_training_token():
+    """Terms of tokens by brute force over all tokens of their two words before; they leave a distribution one."""
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(4, size=rng.integers(1, 60)).tolist() for _ in range(80)]
+    texts += [texts[0], texts[1], texts[1]]
+    held = rng.random(len(texts)) < 0.25
+    ids = np.array([xxhash.xxh64_intdigest(b"w%d" % w) for t in texts for w in t], np.uint64)
+    sizes = np.array([len(t) for t in texts])
+    train = np.repeat(~held, sizes)
+    bucket, keys = lm.context_keys(ids, np.cumsum(sizes) - sizes, 2)
+    context = [(s[i], s[i + 1]) for t in texts for s in [[-1, -1, *t]] for i in range(len(t))]
+    word = [w for t in texts for w in t]
+    assert len(set(zip(context, bucket.tolist()))) == len(set(context)) and len(set(bucket.tolist())) > 1
+    u, v = lm.context_terms(keys, train)
+    count, hits, trials = {}, {}, {}
+    for c, w, t in zip(context, word, train):
+        if t:
+            count.setdefault(c, {}).setdefault(w, 0)
+            count[c][w] += 1
+    for found in count.values():
+        k = (sum(found.values()) - 1).bit_length()
+        for n in found.values():
+            trials[k], hits[k] = trials.get(k, 0) + n, hits.get(k, 0) + n * (n > 1)
+    for c, w, t, x, y in zip(context, word, train, u, v):
+        found = dict(count.get(c, {}))
+        if t:  # left out itself
+            found[w] -= 1
+        total = sum(found.values())
+        k = total.bit_length()
+        trust = hits.get(k, 0) / (trials.get(k, 0) + 1) if total else 0
+        assert x == pytest.approx(1 - trust) and y == pytest.approx(trust * found.get(w, 0) / max(1, total))
+        assert sum(x * 0.25 + trust * found.get(o, 0) / max(1, total) for o in range(4)) == pytest.approx(1)
+
+
+def test_texts_that_occur_twice_are_scored_apart(spark):
+    """The score knows the order of words of the whole corpus: copies lie above texts of the same words in an order of their own."""
+    rng = np.random.default_rng(9)
+    texts = [rng.choice([f"w{i}" for i in range(200)], 80).tolist() for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join(t)) for i, t in enumerate(texts[:20])]
+    rows += [(200 + i, " ".join(rng.permutation(t))) for i, t in enumerate(texts[20:40])]
+    got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    twice = [got[i]["score"] for i in range(20) if not got[100 + i]["held_out"]]
+    shuffled = [got[i]["score"] for i in range(20, 40)]
+    assert len(twice) > 10 and min(twice) > max(shuffled) and len(got) == 100
+
+
 def test_recall_follows_the_document():
     earlier, a, b = lm.recall_terms(np.array([0, 1, 0, 0, 2]))
     assert earlier.tolist() == [0, 0, 1, 2, 0] and a[0] == 1 and np.all(a + b <= 1 + 1e-12)
